@@ -7,10 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, simhash
+from tidemark.llm import bpe, decontam, repetition, simhash
 from tidemark.llm.common import table
 
 
+def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.measure(table(spark, sf_dir, "documents"))
+
+
+def _op1_sql(rules: repetition.Rules = repetition.Rules()) -> str:
+    """Windows by their whole texts instead of hashes; the words that repeated ones cover, for each length."""
+    lengths = sorted({rules.repeat_window, *rules.windows})
+    parts = ", ".join(
+        f"""w{k} AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i : i + {k - 1}], ' ')) AS n FROM d, unnest(generate_series(1, len(w) - {k - 1})) AS g(i) WHERE len(w) >= {k}),
+c{k} AS (SELECT rid, count(*) AS n, sum(len(w[p])) AS chars FROM (SELECT DISTINCT rid, p FROM w{k}, unnest(generate_series(i, i + {k - 1})) AS g(p) WHERE n > 1) JOIN d USING (rid) GROUP BY rid)"""
+        for k in lengths
+    )
+    joins = " ".join(f"LEFT JOIN c{k} USING (rid)" for k in lengths)
+    share = "greatest(" + ", ".join(f"coalesce(c{k}.chars, 0) / greatest(word_chars, 1)" for k in rules.windows) + ")"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT rid, line, row_number() OVER (PARTITION BY rid, line) AS k FROM d, unnest(string_split(text, chr(10))) AS g(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, count(*) AS n, sum(len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM l WHERE k > 1 GROUP BY rid),
+{parts},
+m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(c{rules.repeat_window}.n, 0) AS n_repeat_words, {share} AS window_share, coalesce(dup.chars, 0) / greatest(word_chars, 1) AS line_share
+  FROM d LEFT JOIN dup USING (rid) {joins}),
+f AS (SELECT *, n_words < {rules.least_words} OR 100 * n_repeat_words > {rules.most_repeat_percent} * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  CAST(window_share AS DOUBLE) AS window_share, CAST(line_share AS DOUBLE) AS line_share, base_failed, NOT base_failed AND window_share <= {rules.most_window_share} AND line_share <= {rules.most_line_share} AS kept FROM f
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), outputs=("token_ids", "decoded"))
     return found.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), bpe.ids_sha256().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -50,11 +78,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repetition": op1_repetition,
     "op4_bpe": op4_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
 }
 
 SQL: dict[str, str] = {
+    "op1_repetition": _op1_sql(),
     "op7_decontamination": OP7_SQL,
 }
