@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, repetition, simhash
+from tidemark.llm import bpe, decontam, langid, repetition, sharding, simhash
 from tidemark.llm.common import held_out, table
 
 
@@ -83,12 +83,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
+    "op9_sharding": op9_sharding,
 }
 
 SQL: dict[str, str] = {
