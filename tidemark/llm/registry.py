@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, repetition, sharding, simhash, warc
+from tidemark.llm import bpe, decontam, langid, pii, repetition, sharding, simhash, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -39,6 +39,50 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = [k.name for k in pii.BASE]
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("bigint").alias(f"n_{k}") for k in base],
+        F.sha2(pii.listed(F.concat(*base)).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.concat(*[k.name for k in pii.KINDS])).alias("spans"),
+    )
+
+
+def _op2_sql() -> str:
+    """The plain patterns; places are sums of the lengths before them."""
+    digits = "regexp_replace({0}, '[^0-9]', '', 'g')"
+    luhn = f"list_sum([CASE WHEN k % 2 = 0 THEN CASE WHEN 2 * CAST(dg[-k] AS INT) > 9 THEN 2 * CAST(dg[-k] AS INT) - 9 ELSE 2 * CAST(dg[-k] AS INT) END ELSE CAST(dg[-k] AS INT) END FOR k IN range(1, len(dg) + 1)]) % 10 = 0"
+    turned = "replace(m, ' ', '')"
+    mod97 = f"list_reduce(list_concat([0], [CASE WHEN unicode(c) < 65 THEN unicode(c) - 48 ELSE unicode(c) - 55 END FOR c IN string_split(substr({turned}, 5) || substr({turned}, 1, 4), '')]), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1"
+    octet = pii._OCTET
+    valid = {
+        "email": "true",
+        "ip": f"regexp_full_match(m, '{octet}(?:[.]{octet}){{3}}')",
+        "card": f"len(dg) BETWEEN 13 AND 19 AND {luhn}",
+        "phone": "len(dg) BETWEEN 9 AND 15",
+        "iban": f"NOT regexp_matches(right(b, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(a, 1), '[A-Za-z0-9]') AND {mod97}",
+        "secret": "regexp_matches(m, '[0-9]')",
+        "ssn": "NOT regexp_matches(right(b, 1), '[0-9-]') AND NOT regexp_matches(left(a, 1), '[0-9-]')",
+    }
+    parts, ctes = [], []
+    for n, kind in enumerate(pii.KINDS):
+        near = f"regexp_matches(lower(right(b, {pii.CONTEXT})), '{kind.context}')"
+        enough = "true" if kind.prior >= pii.LEAST_SCORE else near
+        ctes.append(f"""x{n} AS (SELECT rid, regexp_extract_all(text, '{kind.plain}') AS ms, string_split_regex(text, '{kind.plain.replace("(", "(?:")}') AS bs FROM d WHERE regexp_matches(text, '{kind.plain}')),
+y{n} AS (SELECT rid, i, ms[i] AS m, bs[i] AS b, bs[i + 1] AS a, string_split({digits.format("ms[i]")}, '') AS dg, list_sum(list_transform(bs[:i], lambda s: len(s))) + coalesce(list_sum(list_transform(ms[: i - 1], lambda s: len(s))), 0) AS s FROM x{n}, unnest(range(1, len(ms) + 1)) AS g(i))""")
+        parts.append(f"SELECT rid, {n} AS k, '{kind.name}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + len(m) AS BIGINT) AS e FROM y{n} WHERE ({valid[kind.name]}) AND {enough}")
+    counts = ", ".join(f"count(*) FILTER (k = {n}) AS n_{k.name}" for n, k in enumerate(pii.BASE))
+    lists = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{", ".join(ctes)},
+s AS ({" UNION ALL ".join(parts)}),
+t AS (SELECT rid, {counts}, {lists} FILTER (k < {len(pii.BASE)}) AS base, {lists} AS spans FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (rid)
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), outputs=("token_ids", "decoded"))
     return found.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), bpe.ids_sha256().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -105,6 +149,7 @@ FROM m
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
+    "op2_pii": op2_pii,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
     "op7_decontamination": op7_decontamination,
@@ -115,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_repetition": _op1_sql(),
+    "op2_pii": _op2_sql(),
     "op7_decontamination": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
