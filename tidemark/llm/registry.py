@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, pii, repetition, sharding, simhash, warc
+from tidemark.llm import bpe, decontam, langid, licenses, pii, repetition, sharding, simhash, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -94,6 +94,48 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.transform("places", lambda p: p["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.joined(base).alias("base_labels"),
+        licenses.joined(F.concat(base, F.transform("found", lambda p: p["label"]))).alias("labels"),
+        licenses.scores(F.col("places"), F.col("found")).alias("score"),
+    )
+
+
+def _op6_sql(config: licenses.Config = licenses.Config()) -> str:
+    """Document frequencies, the rarest words of each notice, and sums of what aligns, without an index or a gate."""
+    quoted = ", ".join(f"({k}, '{n.label}', '{n.text}', [{', '.join(repr(x) for x in n.keys)}])" for k, n in enumerate(licenses.NOTICES))
+    fixed = ", ".join(f"({k}, '{v}', '{p}')" for k, (p, v) in enumerate(licenses.PHRASES.items()))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS (SELECT rid, w[i] AS w, i - 1 AS pos FROM d, unnest(range(1, len(w) + 1)) AS g(i)),
+n(e, label, text, keys) AS (VALUES {quoted}),
+nw AS (SELECT e, string_split(text, ' ')[i] AS w, i - 1 AS p FROM n, unnest(range(1, len(string_split(text, ' ')) + 1)) AS g(i)),
+must AS (SELECT DISTINCT e, p + j AS p FROM (SELECT n.e, nw.p, len(string_split(k, ' ')) AS size FROM n, unnest(keys) AS u(k), nw WHERE nw.e = n.e AND array_to_string(string_split(text, ' ')[nw.p + 1 : nw.p + len(string_split(k, ' '))], ' ') = k), unnest(range(size)) AS g(j)),
+df AS (SELECT w, count(DISTINCT rid) AS n FROM tok GROUP BY w),
+ranked AS (SELECT e, w, round(ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))), 6) AS idf, row_number() OVER (PARTITION BY e ORDER BY coalesce(n, 0), w) AS k FROM (SELECT DISTINCT e, w FROM nw) LEFT JOIN df USING (w)),
+post AS (SELECT nw.e, nw.w, nw.p, coalesce(idf, 0) / coalesce(nullif(sum(coalesce(idf, 0)) OVER (PARTITION BY nw.e), 0), 1) AS weight, CAST(must.p IS NOT NULL AS INT) AS must FROM nw LEFT JOIN ranked r ON r.e = nw.e AND r.w = nw.w AND r.k <= {config.rare} LEFT JOIN must ON must.e = nw.e AND must.p = nw.p),
+need AS (SELECT e, sum(must) AS need FROM post GROUP BY e),
+found AS (SELECT * FROM (SELECT rid, e, pos - p AS start, round(sum(weight), 6) AS score, sum(must) AS got FROM tok JOIN post USING (w) WHERE must = 1 OR weight > 0 GROUP BY ALL) JOIN need USING (e) WHERE got = need AND score >= {config.least_score}),
+ph(e, label, text) AS (VALUES {fixed}),
+places AS (SELECT rid, label, pos AS start FROM tok JOIN d USING (rid), ph WHERE array_to_string(d.w[pos + 1 : pos + len(string_split(text, ' '))], ' ') = text AND tok.w = string_split(text, ' ')[1]),
+pa AS (SELECT rid, count(*) AS n, min(start) AS a, max(start) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY rid),
+al AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM places UNION ALL SELECT rid, label FROM found JOIN n USING (e)) GROUP BY rid),
+sc AS (SELECT rid, max(least(1.0, score)) AS score FROM found GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pa.n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word, coalesce(pa.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
+  CAST(greatest(coalesce(sc.score, 0), CASE WHEN pa.n > 0 THEN {licenses.PHRASE_SCORE} ELSE 0 END) AS DOUBLE) AS score
+FROM d LEFT JOIN pa USING (rid) LEFT JOIN al USING (rid) LEFT JOIN sc USING (rid)
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = decontam.n_hit()
@@ -152,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
@@ -161,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_repetition": _op1_sql(),
     "op2_pii": _op2_sql(),
+    "op6_licenses": _op6_sql(),
     "op7_decontamination": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
