@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, licenses, pii, repetition, sharding, simhash, warc
+from tidemark.llm import bpe, decontam, langid, licenses, pii, repetition, sharding, simhash, toxicity, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -83,6 +83,12 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in pii.
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), outputs=("token_ids", "decoded"))
     return found.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), bpe.ids_sha256().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -192,6 +198,7 @@ FROM m
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
     "op6_licenses": op6_licenses,
