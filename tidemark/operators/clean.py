@@ -7,24 +7,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions.values import confusable_months, drift
-from tidemark.operators.sample import BY_TIME
+from tidemark.operators.sample import by_time
 
-_BEFORE = BY_TIME.rowsBetween(Window.unboundedPreceding, -1)
-_BACKWARD = Window.partitionBy("tape_id").orderBy(F.desc("video_t"))
-_AFTER = _BACKWARD.rowsBetween(Window.unboundedPreceding, -1)
 
+def _backward() -> WindowSpec:
+    return Window.partitionBy("tape_id").orderBy(F.desc("video_t"))
 
-def _neighbour(column: str, side) -> Column:
-    """The nearest dated row's value on a side."""
-    return F.last(column, ignorenulls=True).over(side)
+
+def _neighbour(column: str, order: WindowSpec) -> Column:
+    """The value of the nearest row before in an order that has one."""
+    return F.last(column, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def drop_date_islands(samples: DataFrame) -> DataFrame:
     """Without dated rows whose date is neither that of the dated row before nor of the one after; the first and last stay."""
-    marked = samples.withColumn("__d", F.to_date("cam_ts")).withColumn("__p", _neighbour("__d", _BEFORE)).withColumn("__n", _neighbour("__d", _AFTER))
+    marked = samples.withColumn("__d", F.to_date("cam_ts")).withColumn("__p", _neighbour("__d", by_time())).withColumn("__n", _neighbour("__d", _backward()))
     island = F.col("__d").isNotNull() & (F.col("__d") != F.col("__p")) & (F.col("__d") != F.col("__n"))
     return marked.where(~F.coalesce(island, F.lit(False))).drop("__d", "__p", "__n")
 
@@ -33,11 +34,11 @@ def _between_equal_runs(samples: DataFrame, misread: Column) -> DataFrame:
     """Without rows of runs of one date (__d) that stand between two runs of one other date (__l, __r) and are misread."""
     marked = (
         samples.withColumn("__d", F.to_date("cam_ts"))
-        .withColumn("__p", _neighbour("__d", _BEFORE))
-        .withColumn("__n", _neighbour("__d", _AFTER))
+        .withColumn("__p", _neighbour("__d", by_time()))
+        .withColumn("__n", _neighbour("__d", _backward()))
         # A run's outer dates are known where it begins and ends; they are carried to its other rows.
-        .withColumn("__l", F.last(F.when(F.col("__d") != F.col("__p"), F.col("__p")), ignorenulls=True).over(BY_TIME))
-        .withColumn("__r", F.last(F.when(F.col("__d") != F.col("__n"), F.col("__n")), ignorenulls=True).over(_BACKWARD))
+        .withColumn("__l", F.last(F.when(F.col("__d") != F.col("__p"), F.col("__p")), ignorenulls=True).over(by_time()))
+        .withColumn("__r", F.last(F.when(F.col("__d") != F.col("__n"), F.col("__n")), ignorenulls=True).over(_backward()))
     )
     dropped = F.col("__d").isNotNull() & (F.col("__l") == F.col("__r")) & misread
     return marked.where(~F.coalesce(dropped, F.lit(False))).drop("__d", "__p", "__n", "__l", "__r")
@@ -63,9 +64,9 @@ def drop_year_runs(samples: DataFrame) -> DataFrame:
     array of (run, next run). Tapes of fewer than three runs stay as they are.
     """
     dated = F.col("__d").isNotNull()
-    marked = samples.withColumn("__d", F.to_date("cam_ts")).withColumn("__p", _neighbour("__d", _BEFORE))
+    marked = samples.withColumn("__d", F.to_date("cam_ts")).withColumn("__p", _neighbour("__d", by_time()))
     starts = F.when(dated & (F.col("__p").isNull() | (F.col("__d") != F.col("__p"))), 1)
-    marked = marked.withColumn("__run", F.when(dated, F.count(starts).over(BY_TIME) - 1))
+    marked = marked.withColumn("__run", F.when(dated, F.count(starts).over(by_time()) - 1))
     runs = marked.where(dated).groupBy("tape_id", F.col("__run").alias("i")).agg(F.min("__d").alias("d"))
     order = Window.partitionBy("tape_id").orderBy("i")
     month = F.month("d")
@@ -93,8 +94,8 @@ def drop_outliers(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     out = samples.where("cam_ts IS NOT NULL")
     sides = {}
     for k in range(1, reach + 1):
-        sides[-k] = (F.lag("video_t", k).over(BY_TIME), F.lag("cam_ts", k).over(BY_TIME))
-        sides[k] = (F.lead("video_t", k).over(BY_TIME), F.lead("cam_ts", k).over(BY_TIME))
+        sides[-k] = (F.lag("video_t", k).over(by_time()), F.lag("cam_ts", k).over(by_time()))
+        sides[k] = (F.lead("video_t", k).over(by_time()), F.lead("cam_ts", k).over(by_time()))
     for k, (t, ts) in sides.items():
         out = out.withColumns({f"__t{k}": t, f"__c{k}": ts})
     t, c = F.col("video_t"), F.col("cam_ts")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions import parse
 from tidemark.operators.joins import asof
-from tidemark.operators.sample import BY_TIME
+from tidemark.operators.sample import by_time
 
 
 def dead_zones(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(tape_id, coarse_t, prev_t, none_start, none_span_s, old_dt, new_dt): short unreadable runs between two dates, of samples (tape_id, video_t, raw)."""
-    dated = samples.select("tape_id", "video_t", parse.eval_date(F.col("raw"), settings).alias("dt")).withColumn("next_t", F.lead("video_t").over(BY_TIME)).where("dt IS NOT NULL")
-    dated = dated.withColumns({"prev_t": F.lag("video_t").over(BY_TIME), "old_dt": F.lag("dt").over(BY_TIME), "none_start": F.lag("next_t").over(BY_TIME)})
+    dated = samples.select("tape_id", "video_t", parse.eval_date(F.col("raw"), settings).alias("dt")).withColumn("next_t", F.lead("video_t").over(by_time())).where("dt IS NOT NULL")
+    dated = dated.withColumns({"prev_t": F.lag("video_t").over(by_time()), "old_dt": F.lag("dt").over(by_time()), "none_start": F.lag("next_t").over(by_time())})
     span = F.col("video_t") - F.col("none_start")
     kept = dated.where((F.col("none_start") < F.col("video_t")) & (F.to_date("old_dt") != F.to_date("dt")) & (span < settings.dead_zone))
     return kept.select("tape_id", F.col("video_t").alias("coarse_t"), "prev_t", "none_start", span.alias("none_span_s"), "old_dt", F.col("dt").alias("new_dt"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions import values
 from tidemark.operators.joins import asof
-from tidemark.operators.sample import BY_TIME
+from tidemark.operators.sample import by_time
 
 
 def confirmed(filtered: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -19,7 +19,7 @@ def confirmed(filtered: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     t, c = F.col("video_t"), F.col("cam_ts")
     side = filtered
     for name, move in (("p", F.lag), ("n", F.lead)):
-        side = side.withColumns({f"__t{name}": move("video_t").over(BY_TIME), f"__c{name}": move("cam_ts").over(BY_TIME)})
+        side = side.withColumns({f"__t{name}": move("video_t").over(by_time()), f"__c{name}": move("cam_ts").over(by_time())})
     before, after = (F.col("__tp"), F.col("__cp")), (F.col("__tn"), F.col("__cn"))
     out = values.jumped(t, c, *after, settings)
     misread = values.jumped(*before, t, c, settings) & ~values.jumped(*before, *after, settings)

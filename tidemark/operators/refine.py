@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions import parse
@@ -17,12 +18,16 @@ from tidemark.functions.values import seconds
 from tidemark.operators.joins import asof
 
 KEY = ["tape_id", "boundary_id"]
-OF = Window.partitionBy(*KEY)
 Reader = Callable[[DataFrame], DataFrame]
 #: What every request and reading carries of its boundary.
 _CARRIED = ["video_t", "prev_t", "prev_dt", "cam_after", "lo", "hi", "span"]
 
 
+def _of() -> WindowSpec:
+    """All rows of a boundary."""
+    return Window.partitionBy(*KEY)
+
+
 def reader_of(readings: DataFrame) -> Reader:
     """A reader of a table: every requested position gets a row, with '' where the table has none."""
 
@@ -65,9 +70,9 @@ def judged(readings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def with_transition(own: DataFrame) -> DataFrame:
     """own with its boundary's any_ocr, last_old (the last old reading, else prev_t), and first_new with new_dt: the first new reading after that."""
-    last = F.max(F.when(F.col("side") == "old", F.col("t").cast("double"))).over(OF)
-    out = own.withColumn("any_ocr", (F.count("side").over(OF) > 0)).withColumn("last_old", F.coalesce(last, "prev_t"))
-    first = F.min(F.when((F.col("side") == "new") & (F.col("t") > F.col("last_old")), F.struct("t", "cam_ts"))).over(OF)
+    last = F.max(F.when(F.col("side") == "old", F.col("t").cast("double"))).over(_of())
+    out = own.withColumn("any_ocr", (F.count("side").over(_of()) > 0)).withColumn("last_old", F.coalesce(last, "prev_t"))
+    first = F.min(F.when((F.col("side") == "new") & (F.col("t") > F.col("last_old")), F.struct("t", "cam_ts"))).over(_of())
     return out.withColumn("__new", first).withColumns({"first_new": F.col("__new.t").cast("double"), "new_dt": F.col("__new.cam_ts")}).drop("__new")
 
 
@@ -80,7 +85,7 @@ def _gap(own: DataFrame) -> DataFrame:
     """One row for each boundary of own (…, last_old, upper, upper_dt): last_garble, the last old-dated garble between the two, and garble_new, the first new-dated one after it."""
     inside = (F.col("t") > F.col("last_old")) & (F.col("t") < F.col("upper"))
     seen = own.withColumn("cls", F.when(inside, parse.gap_class(F.col("raw"), F.col("prev_dt"), F.col("upper_dt"))))
-    seen = seen.withColumn("last_garble", F.max(F.when(F.col("cls") == "old", F.col("t"))).over(OF))
+    seen = seen.withColumn("last_garble", F.max(F.when(F.col("cls") == "old", F.col("t"))).over(_of()))
     later = (F.col("cls") == "new") & (F.col("last_garble").isNull() | (F.col("t") > F.col("last_garble")))
     carried = [c for c in ("video_t", "prev_t", "prev_dt", "cam_after", "span", "any_ocr", "last_old", "first_new", "upper", "upper_dt", "last_garble")]
     return seen.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in carried], F.min(F.when(later, F.col("t"))).cast("double").alias("garble_new"))
@@ -113,7 +118,7 @@ def short_policy(windows: DataFrame, read: Reader, events: DataFrame | None = No
     own = with_transition(judged(read(dense_requests(windows)), settings))
     # Without a new reading, new-dated garble behind the last old one bounds the gap.
     garble = (F.col("t") > F.col("last_old")) & (F.col("raw") != "") & F.col("first_new").isNull() & (parse.gap_class(F.col("raw"), F.col("prev_dt"), F.col("cam_after")) == "new")
-    own = own.withColumn("upper", F.coalesce("first_new", F.min(F.when(garble, F.col("t").cast("double"))).over(OF))).withColumn("upper_dt", F.when(F.col("first_new").isNotNull(), F.col("new_dt")).otherwise(F.col("cam_after")))
+    own = own.withColumn("upper", F.coalesce("first_new", F.min(F.when(garble, F.col("t").cast("double"))).over(_of()))).withColumn("upper_dt", F.when(F.col("first_new").isNotNull(), F.col("new_dt")).otherwise(F.col("cam_after")))
     out = _gap(own)
     inside = before = F.lit(None).cast("double")
     if events is not None:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions import parse
 
-BY_TIME = Window.partitionBy("tape_id").orderBy("video_t")
+
+def by_time() -> WindowSpec:
+    """A tape in the order of its positions."""
+    return Window.partitionBy("tape_id").orderBy("video_t")
 
 
 def parsed(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -65,16 +69,16 @@ def fill_time_only(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     """
     dated = F.col("cam_ts").isNotNull()
     timed = ~dated & F.col("minute").isNotNull()
-    before = BY_TIME.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_time().rowsBetween(Window.unboundedPreceding, -1)
     of_day = F.when(dated, F.hour("cam_ts") * 60 + F.minute("cam_ts")).otherwise(F.col("minute"))
     wrap = timed & (F.col("__of_day") < F.last("__of_day", ignorenulls=True).over(before) - settings.wrap_minutes)
     in_segment = Window.partitionBy("tape_id", "__segment")
-    first = F.first(F.when(dated, F.col("cam_ts")), ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first(F.when(dated, F.col("cam_ts")), ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     marked = (
         samples.withColumn("__of_day", of_day)
         .withColumn("__wrap", F.coalesce(wrap, F.lit(False)).cast("int"))
         .withColumn("__first", first)
-        .withColumn("__segment", F.count(F.when(dated, 1)).over(BY_TIME))
+        .withColumn("__segment", F.count(F.when(dated, 1)).over(by_time()))
         .withColumn("__anchor", F.coalesce(F.max("cam_ts").over(in_segment), F.col("__first")))
         .withColumn("__wraps", F.sum("__wrap").over(in_segment.orderBy("video_t")))
     )

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions.values import seconds
-from tidemark.operators.sample import BY_TIME
+from tidemark.operators.sample import by_time
 
 
 def boundaries(filtered: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(tape_id, boundary_id, video_t, type, cam_before, cam_after, cam_jump_s, prev_t, prev_dt) between successive dated rows whose clocks jump."""
-    pairs = filtered.select("tape_id", "video_t", "cam_ts", F.lag("video_t").over(BY_TIME).alias("prev_t"), F.lag("cam_ts").over(BY_TIME).alias("prev_dt"))
+    pairs = filtered.select("tape_id", "video_t", "cam_ts", F.lag("video_t").over(by_time()).alias("prev_t"), F.lag("cam_ts").over(by_time()).alias("prev_dt"))
     jump, moved = seconds(F.col("prev_dt"), F.col("cam_ts")), F.col("video_t") - F.col("prev_t")
     pairs = pairs.withColumn("cam_jump_s", jump).withColumn("moved", moved)
     back = F.col("cam_jump_s") < settings.backward
@@ -20,7 +20,7 @@ def boundaries(filtered: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     large = (F.col("cam_jump_s") > F.col("moved") + settings.large_gap) | back
     return found.select(
         "tape_id",
-        F.row_number().over(BY_TIME).cast("bigint").alias("boundary_id"),
+        F.row_number().over(by_time()).cast("bigint").alias("boundary_id"),
         "video_t",
         F.when(large, "large_gap").otherwise("gap").alias("type"),
         F.col("prev_dt").alias("cam_before"),

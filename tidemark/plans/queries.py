@@ -135,12 +135,10 @@ def fn_frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings garbled in three ways, between the dates around them."""
-    from tidemark.operators.sample import BY_TIME
-
     p = _parsed(spark, sf_dir).where("cam_ts IS NOT NULL")
     k = (F.col("video_t") / 10).cast("int") % 3
     raw = F.when(k == 0, F.regexp_replace("raw", "/ ", "//")).when(k == 1, F.regexp_replace("raw", "/", "4/")).otherwise(F.regexp_replace("raw", r"\d+/ ", ""))
-    return p.select("tape_id", "video_t", raw.alias("garbled"), F.lag("cam_ts", 5).over(BY_TIME).alias("old_ts"), F.lead("cam_ts", 5).over(BY_TIME).alias("new_ts")).where("old_ts IS NOT NULL AND new_ts IS NOT NULL")
+    return p.select("tape_id", "video_t", raw.alias("garbled"), F.lag("cam_ts", 5).over(sample.by_time()).alias("old_ts"), F.lead("cam_ts", 5).over(sample.by_time()).alias("new_ts")).where("old_ts IS NOT NULL AND new_ts IS NOT NULL")
 
 
 @_query
@@ -157,9 +155,7 @@ def fn_gap_date_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def fn_drift_jumped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.sample import BY_TIME
-
-    p = _parsed(spark, sf_dir).where("cam_ts IS NOT NULL").withColumns({"pt": F.lag("video_t").over(BY_TIME), "pc": F.lag("cam_ts").over(BY_TIME)}).where("pt IS NOT NULL")
+    p = _parsed(spark, sf_dir).where("cam_ts IS NOT NULL").withColumns({"pt": F.lag("video_t").over(sample.by_time()), "pc": F.lag("cam_ts").over(sample.by_time())}).where("pt IS NOT NULL")
     args = F.col("pt"), F.col("pc"), F.col("video_t"), F.col("cam_ts")
     return p.select("tape_id", "video_t", values.drift(*args).alias("drift"), values.jumped(*args).alias("jumped"), values.confusable_months(F.month("pc"), F.month("cam_ts")).alias("confusable"))
 
