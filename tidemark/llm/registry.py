@@ -16,11 +16,12 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op1_sql(rules: repetition.Rules = repetition.Rules()) -> str:
-    """Windows by their whole texts instead of hashes; the words that repeated ones cover, for each length."""
+    """Windows by their whole texts instead of hashes; a word is covered if one of the last windows begun is repeated."""
     lengths = sorted({rules.repeat_window, *rules.windows})
+    text = lambda k: " || ' ' || ".join(["t", *(f"lead(t, {j}) OVER w" for j in range(1, k))])
     parts = ", ".join(
-        f"""w{k} AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i : i + {k - 1}], ' ')) AS n FROM d, unnest(generate_series(1, len(w) - {k - 1})) AS g(i) WHERE len(w) >= {k}),
-c{k} AS (SELECT rid, count(*) AS n, sum(len(w[p])) AS chars FROM (SELECT DISTINCT rid, p FROM w{k}, unnest(generate_series(i, i + {k - 1})) AS g(p) WHERE n > 1) JOIN d USING (rid) GROUP BY rid)"""
+        f"""w{k} AS (SELECT rid, i, len(t) AS chars, CAST(g IS NOT NULL AND count(*) OVER (PARTITION BY rid, g) > 1 AS INT) AS again FROM (SELECT *, {text(k)} AS g FROM tok WINDOW w AS (PARTITION BY rid ORDER BY i))),
+c{k} AS (SELECT rid, count(*) AS n, sum(chars) AS chars FROM (SELECT *, max(again) OVER (PARTITION BY rid ORDER BY i ROWS {k - 1} PRECEDING) AS hit FROM w{k}) WHERE hit = 1 GROUP BY rid)"""
         for k in lengths
     )
     joins = " ".join(f"LEFT JOIN c{k} USING (rid)" for k in lengths)
@@ -28,6 +29,7 @@ c{k} AS (SELECT rid, count(*) AS n, sum(len(w[p])) AS chars FROM (SELECT DISTINC
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT rid, line, row_number() OVER (PARTITION BY rid, line) AS k FROM d, unnest(string_split(text, chr(10))) AS g(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+tok AS (SELECT rid, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
 dup AS (SELECT rid, count(*) AS n, sum(len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM l WHERE k > 1 GROUP BY rid),
 {parts},
 m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
