@@ -49,20 +49,29 @@ def reading(raw: Column, settings: Settings = DEFAULTS) -> Column:
     makes the whole reading null. minute: the minute of the day of a time with meridian in text without any form of date.
     """
 
-    def fields(flat: Column) -> Column:
+    def found(flat: Column) -> Column:
+        """The first date and time in the text; the dear search for a month's name only where there is no numeric date."""
+        numeric = F.regexp_extract(flat, DATE, 0)
+        return F.struct(numeric.alias("numeric"), F.when(numeric == "", F.regexp_extract(flat, WORD_DATE, 0)).alias("word"), F.regexp_extract(flat, TIME, 0).alias("time"))
+
+    def fields(x: Column) -> Column:
+        n, w, t = F.split(x["numeric"], "/"), x["word"], x["time"]
+        parts = [F.trim(F.get(n, F.lit(k))).try_cast("int") for k in range(3)]
+        hour, rest = F.substring_index(t, ":", 1).try_cast("int"), F.substring(t, F.instr(t, ":") + 1, F.lit(2)).try_cast("int")
         return F.struct(
-            flat.rlike(DATE).alias("numeric"),
-            *[_part(flat, DATE, k).alias(f"n{k}") for k in (1, 2, 3)],
-            F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(F.regexp_extract(flat, WORD_DATE, 1))).cast("int").alias("w1"),
-            *[_part(flat, WORD_DATE, k).alias(f"w{k}") for k in (2, 3)],
-            *[_part(flat, TIME, k).alias(f"t{k}") for k in (1, 2)],
-            F.upper(F.regexp_extract(flat, TIME, 3)).alias("meridian"),
+            (x["numeric"] != "").alias("numeric"),
+            *[v.alias(f"n{k}") for k, v in enumerate(parts, 1)],
+            F.when(w != "", F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(F.left(w, F.lit(3)))).cast("int")).alias("w1"),
+            *[F.when(w != "", _part(w, WORD_DATE, k)).alias(f"w{k}") for k in (2, 3)],
+            hour.alias("t1"),
+            rest.alias("t2"),
+            F.when(t.rlike("[A-Za-z]$"), F.upper(F.right(t, F.lit(2)))).otherwise("").alias("meridian"),
         )
 
     def merged(f: Column) -> Column:
         pick = lambda k: F.when(f["numeric"], f[f"n{k}"]).otherwise(f[f"w{k}"])
         hour = F.when((f["meridian"] == "PM") & (f["t1"] != 12), f["t1"] + 12).when((f["meridian"] == "AM") & (f["t1"] == 12), 0).otherwise(f["t1"])
-        return F.struct((f["numeric"] | (f["w1"] > 0)).alias("dated"), pick(1).alias("mo"), pick(2).alias("d"), full_year(pick(3), settings.pivot).alias("y"), (f["meridian"] != "").alias("timed"), hour.alias("h"), f["t2"].alias("mi"))
+        return F.struct((f["numeric"] | F.coalesce(f["w1"] > 0, F.lit(False))).alias("dated"), pick(1).alias("mo"), pick(2).alias("d"), full_year(pick(3), settings.pivot).alias("y"), (f["meridian"] != "").alias("timed"), hour.alias("h"), f["t2"].alias("mi"))
 
     def out(m: Column) -> Column:
         ts = _made(m["y"], m["mo"], m["d"], F.when(m["timed"], m["h"]).otherwise(0), F.when(m["timed"], m["mi"]).otherwise(0))
@@ -70,7 +79,7 @@ def reading(raw: Column, settings: Settings = DEFAULTS) -> Column:
         of_day = ~m["dated"] & m["timed"] & m["h"].between(0, 23) & m["mi"].between(0, 59)
         return F.struct(F.when(plausible, ts).alias("cam_ts"), F.when(of_day, m["h"] * 60 + m["mi"]).alias("minute"))
 
-    return _bound(normalized(raw), lambda flat: _bound(fields(flat), lambda f: _bound(merged(f), out)))
+    return _bound(normalized(raw), lambda flat: _bound(found(flat), lambda x: _bound(fields(x), lambda f: _bound(merged(f), out))))
 
 
 def timestamp(raw: Column, settings: Settings = DEFAULTS) -> Column:
