@@ -33,7 +33,7 @@ from tidemark.llm.common import portions
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces kept by the cache of one process at most; when it is full, it begins anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 #: The code points of \s in the pre-tokenisation pattern.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -139,7 +139,7 @@ class Vocabulary:
     def __init__(self, lines: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece: the adjacent pair of lowest rank is merged, leftmost first, until none has a rank."""
@@ -180,7 +180,7 @@ class Vocabulary:
         for a, b in zip(at, [*at[1:], len(joined)]):
             piece = joined[a:b]
             if (own := cache.get(piece)) is None:
-                own = cache[piece] = self.merge(piece.encode())
+                own = cache[piece] = tuple(self.merge(piece.encode()))
             ids.append(own)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(counts.sum()))

@@ -57,7 +57,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def portions(batch: pa.RecordBatch, text: str, most: int = 4_000_000):
+def portions(batch: pa.RecordBatch, text: str, most: int = 1_000_000):
     """Slices of a batch of about `most` bytes of text each (one row at least), so that work arrays stay small."""
     if batch.num_rows == 0:
         return
