@@ -167,10 +167,13 @@ class Network:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", config: Config = Config()) -> Network | None:
     """A network fitted to labelled rows of docs outside the held-out fold; None where there are none."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Windows taken evenly from each whole text, of the rows of smallest hash: only those windows travel.
+    # Windows taken evenly from each whole text, of the rows of smallest hash: only those windows travel. A bound on
+    # the hash that about twice as many rows pass keeps tasks from sending train_rows each.
     size, k = config.window, config.train_windows
+    share = min(1.0, 2 * config.train_rows / max(1, docs.count()))
+    most = F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
     spread = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substring(F.col("text"), (i * F.greatest(F.length("text") - size, F.lit(0)) / max(1, k - 1)).cast("int") + 1, F.lit(size)))
-    chosen = usable.select("lang", F.array_distinct(spread).alias("parts"), F.xxhash64(F.col("id").cast("string"), F.length("text")).alias("h")).orderBy("h", "lang", "parts").limit(config.train_rows)
+    chosen = usable.select("lang", F.array_distinct(spread).alias("parts"), F.xxhash64(F.col("id").cast("string")).alias("h")).where(F.col("h") <= most).orderBy("h", "lang", "parts").limit(config.train_rows)
     rows = chosen.select("lang", F.explode("parts").alias("part")).where(F.col("part").rlike(r"\p{L}")).collect()
     if not rows:
         return None
