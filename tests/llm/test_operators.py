@@ -191,6 +191,21 @@ def test_language(spark, docs, empty):
     assert langid.identify(empty, langid.train(empty)).count() == 0
 
 
+def test_language_of_few_labels_among_many_rows(spark):
+    rng = random.Random(8)
+    own = {"xx": ["the", "thing", "of", "with", "wh"], "yy": ["und", "sch", "ein", "ver", "zü"]}
+    rows = [(i, " ".join(rng.choice(own[lang]) for _ in range(60)), lang) for i in range(120) for lang in [("xx", "yy")[i % 2]]]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    blank = spark.range(1000, 1200).select(F.col("id").alias("doc_id"), F.lit("12 --").alias("text"), F.lit("zz").alias("lang"))
+    rest = spark.range(2000, 300_000).select(F.col("id").alias("doc_id"), F.lit("any").alias("text"), F.lit(None).cast("string").alias("lang"))
+    config = langid.Config(train_rows=100, epochs=40)
+    net = langid.train(labelled.union(blank).union(rest), config=config)
+    alone = langid.train(labelled, config=config)
+    assert net is not None and net.langs == ["xx", "yy"]
+    assert all((net.p[k] == alone.p[k]).all() for k in net.p)  # other rows take no place among the training rows
+    assert langid.keep_identified(labelled, net).count() == len(rows)
+
+
 # --- licences ---
 
 

@@ -5,7 +5,7 @@ largest response in a window passes to a softmax over the learned languages. A t
 gaps over the whole text and their probabilities are averaged by length.
 
 Trained by Adam on windows of labelled texts that are not held out. The fit runs on the driver, on at most
-`Config.train_rows` rows, the ones of smallest hash; that bound is the only sample. The scores run in batches
+`Config.train_rows` labelled rows with a letter, the ones of smallest hash; that bound is the only sample. The scores run in batches
 within the scan: no shuffle, and work arrays of bounded size.
 
 Inference folds each embedding into its filters: a filter of width w is a sum of w table rows, so a window costs
@@ -166,14 +166,17 @@ class Network:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", config: Config = Config()) -> Network | None:
     """A network fitted to labelled rows of docs outside the held-out fold; None where there are none."""
-    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    columns = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    usable = columns.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # Windows taken evenly from each whole text, of the rows of smallest hash: only those windows travel. A bound on
-    # the hash that about twice as many rows pass keeps tasks from sending train_rows each.
+    # the hash keeps tasks from sending train_rows each: the lowest of the halved ones that train_rows usable rows, or
+    # all of them, pass.
     size, k = config.window, config.train_windows
-    share = min(1.0, 2 * config.train_rows / max(1, docs.count()))
-    most = F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+    bounds = [2 ** (64 - i) - 2**63 - 1 for i in range(41)]
+    passed = usable.agg(*[F.count_if(F.col("h") <= b).alias(f"n{i}") for i, b in enumerate(bounds)]).first()
+    most = min(b for b, n in zip(bounds, passed) if n >= min(config.train_rows, passed[0]))
     spread = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substring(F.col("text"), (i * F.greatest(F.length("text") - size, F.lit(0)) / max(1, k - 1)).cast("int") + 1, F.lit(size)))
-    chosen = usable.select("lang", F.array_distinct(spread).alias("parts"), F.xxhash64(F.col("id").cast("string")).alias("h")).where(F.col("h") <= most).orderBy("h", "lang", "parts").limit(config.train_rows)
+    chosen = usable.select("lang", F.array_distinct(spread).alias("parts"), "h").where(F.col("h") <= most).orderBy("h", "lang", "parts").limit(config.train_rows)
     rows = chosen.select("lang", F.explode("parts").alias("part")).where(F.col("part").rlike(r"\p{L}")).collect()
     if not rows:
         return None
