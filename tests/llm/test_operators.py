@@ -257,6 +257,15 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(docs, bench.limit(0)).where(F.size("spans") > 0).count() == 0
 
 
+def test_decontamination_of_repeated_and_null_ids_in_blocks(spark):
+    items = [("i0", " ".join(f"a{k}" for k in range(12))), ("i1", " ".join(f"b{k}" for k in range(12)))]
+    texts = [(1, items[0][1]), (1, "x " + items[1][1]), (1, "clean"), (None, items[1][1]), (None, "c d"), (1, items[0][1]), (2, f"{items[0][1]} {items[1][1]}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = lambda **k: sorted(map(str, decontam.contamination(df, bench, **k).collect()))
+    assert len(rows()) == len(texts) and rows(block_windows=5) == rows()
+
+
 # --- near-duplicates ---
 
 
@@ -316,6 +325,14 @@ def test_simhash_chain_and_edges(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, one), (None, three), (None, three), (None, two), (3, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = collections.Counter((r.doc_id, r.text) for r in simhash.keep_one(df).collect())
+    assert kept == {(1, one): 1, (1, two): 1, (None, three): 1, (3, None): 1}
+
+
 # --- sharding ---
 
 

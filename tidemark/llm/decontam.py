@@ -174,8 +174,8 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def _merge_blocks(parts: list[DataFrame], id_col: str) -> DataFrame:
-    """The passes of several blocks as one row for each document; needs unique ids."""
+def _merge_blocks(parts: list[DataFrame], key: str) -> DataFrame:
+    """The passes of several blocks as one row for each row of the documents; key is a row's own in each pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,34 +185,48 @@ def _merge_blocks(parts: list[DataFrame], id_col: str) -> DataFrame:
     all_of = parts[0]
     for p in parts[1:]:
         all_of = all_of.unionByName(p)
-    rows = all_of.groupBy(id_col).agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = all_of.groupBy(key).agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     kinds = dict(parts[0].dtypes)
-    return rows.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, n_words bigint, spans {kinds['spans']}, items array<string>")
+    return rows.mapInArrow(run, f"`{key}` {kinds[key]}, n_words bigint, spans {kinds['spans']}, items array<string>")
 
 
-def window_blocks(benchmark: DataFrame, n: int = 10, item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 500_000) -> Iterator[Windows]:
-    """The benchmark's windows in blocks of about block_windows at most; one block at least."""
-    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+def _block_count(items: DataFrame, block_windows: int) -> int:
     # A text of b bytes has b / 2 + 1 words at most, and no more windows.
     most = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
-    blocks = max(1, math.ceil(most / block_windows))
+    return max(1, math.ceil(most / block_windows))
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.where(F.col(item_text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+
+
+def _windows(items: DataFrame, blocks: int, n: int) -> Iterator[Windows]:
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         yield Windows([tuple(r) for r in block.toLocalIterator()], n)
 
 
+def window_blocks(benchmark: DataFrame, n: int = 10, item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 500_000) -> Iterator[Windows]:
+    """The benchmark's windows in blocks of about block_windows at most; one block at least."""
+    items = _items(benchmark, item_col, item_text_col)
+    yield from _windows(items, _block_count(items, block_windows), n)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 500_000) -> DataFrame:
-    """(id, n_words, spans, items) of each document.
+    """(id, n_words, spans, items) of each row of docs; ids may repeat or be null.
 
-    A benchmark of up to block_windows windows is one pass and any ids may repeat; a larger one is several, whose
-    results meet by id, so ids must then be unique and not null.
+    A benchmark of up to block_windows windows is one pass. A larger one is several, over ids and texts written with
+    a row number, by which their results meet.
     """
-    blocks = window_blocks(benchmark, n, item_col, item_text_col, block_windows)
-    parts = [scan(docs, next(blocks), id_col, text_col)]
-    for windows in blocks:
-        parts[-1] = materialise(parts[-1], "contamination")
-        parts.append(scan(docs, windows, id_col, text_col))
-    return parts[0] if len(parts) == 1 else _merge_blocks(parts, id_col)
+    items = _items(benchmark, item_col, item_text_col)
+    count = _block_count(items, block_windows)
+    blocks = _windows(items, count, n)
+    if count == 1:
+        return scan(docs, next(blocks), id_col, text_col)
+    row = F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
+    rows = materialise(docs.select(row.alias("key"), F.col(text_col).cast("string").alias("text")), "rows")
+    parts = [materialise(scan(rows, windows, "key", "text"), "contamination") for windows in blocks]
+    return _merge_blocks(parts, "key").select(F.col("key.id").alias(id_col), "n_words", "spans", "items")
 
 
 def n_hit(spans: str = "spans") -> Column:

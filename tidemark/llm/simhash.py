@@ -184,12 +184,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each near-duplicate component: that of the smallest id; repeated rows of it count once.
+    """docs with one row of each near-duplicate component: one of the smallest id, null ids last.
 
-    Rows with a null id can't be told apart by it: all of them stay.
+    Rows are told apart by a number written with them, so ids may repeat or be null.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    found = near_duplicates(named, id_col, text_col, **options).where(F.col(id_col) == F.col("component"))
-    kept = found.groupBy(F.col(id_col).alias("__kept_id")).agg(F.count("*").alias("__n"))
-    one = named.join(kept, named[id_col] == kept["__kept_id"]).drop("__n", "__kept_id").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    found = near_duplicates(rows.select(key.alias("__key"), text_col), "__key", text_col, **options)
+    kept = found.where(F.col("__key") == F.col("component")).select(F.col("__key.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
