@@ -118,6 +118,24 @@ def test_pii_checksums_context_and_redaction(spark):
     assert out[1] == "write <EMAIL> now, IBAN <IBAN> not DE88370400440532013000; 078-05-1120, ssn <SSN>. <CARD> <PHONE> <SECRET> <IP>!" and out[2] is None
 
 
+def test_pii_redacts_plain_cases(spark):
+    cases = {
+        "DE89 3704 0044 0532 0130 00 Please": "<IBAN> Please",
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF": "IBAN <IBAN> BIC COBADEFF",
+        "PAY TO DE89370400440532013000 BY 12 MAY": "PAY TO <IBAN> BY 12 MAY",
+        "AB12 3456 7890 1234 GB29 NWBK 6016 1331 9268 19 7": "AB12 3456 7890 1234 <IBAN> 7",
+        "DE89370400440532013000X": "DE89370400440532013000X",
+        'TOKEN = "9233A8C0FFEE9233" Password: hunter2hunter2 API_KEY=abcdef123456': '<SECRET>" <SECRET> <SECRET>',
+        "SSN 123-45-6789, 987-65-4321": "SSN <SSN>, <SSN>",
+        "078-05-1120, 987-65-4321": "078-05-1120, 987-65-4321",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert [out[i] for i in range(len(cases))] == list(cases.values())
+    found = {r.doc_id: r for r in pii.find(df, kinds=pii.WHOLE).collect()}
+    assert [(s.start, s.end) for s in found[6].ssn] == [(4, 15), (17, 28)]
+
+
 # --- toxicity ---
 
 

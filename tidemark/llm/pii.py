@@ -14,7 +14,7 @@ exclusive, leftmost and non-overlapping for each kind, and may overlap between k
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +61,8 @@ class Kind:
     """plain: the pattern's meaning; java: the same for Java's matcher; gate: a cheap test that no text with a match fails.
 
     valid takes a match, the text before it (back to the last match) and after it (up to the next). prior is the
-    score of a valid match, boost what a context word adds; a span stays if its score reaches LEAST_SCORE.
+    score of a valid match, boost what a context word adds; a span stays if its score reaches LEAST_SCORE. The context
+    ends at the last match, or (far) goes on before it.
     """
 
     name: str
@@ -72,6 +73,7 @@ class Kind:
     context: str
     prior: float
     boost: float
+    far: bool = False
 
 
 LEAST_SCORE = 0.5
@@ -151,22 +153,54 @@ ADDED = (
         0.6,
     ),
 )
+#: What op2_pii and its SQL find.
 KINDS = BASE + ADDED
 
+#: Characters of an IBAN after its country and check digits.
+_IBAN_REST = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV", 18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG",
+    21: "LY PT ST", 22: "IS TR", 23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV", 25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])" for n, c in _IBAN_REST.items())
+#: By its country's length, else as long as capitals and digits go on, short of what may begin another.
+_IBAN = rf"(?<![A-Za-z0-9])(?:{_KNOWN}|[A-Z]{{2}}[0-9]{{2}}(?:(?: (?![A-Z]{{2}}[0-9]{{2}}))?[A-Z0-9]){{11,30}})"
+_SECRET = f"(?i:{'|'.join(_KEYS)}) ?[=:] ?\"?[0-9A-Za-z_-]{{12,}}"
+
+
+def _whole(kind: Kind) -> Kind:
+    if kind.name == "iban":
+        kind = replace(kind, plain=_IBAN, java=_IBAN)
+    if kind.name == "secret":
+        kind_gate = kind.gate
+        kind = replace(kind, plain=_SECRET, java=_SECRET, gate=lambda t: kind_gate(F.lower(t)))
+    return replace(kind, far=True)
+
+
+#: What is redacted: KINDS with IBANs before capitals or digits, keys in any case, and context across matches.
+WHOLE = tuple(map(_whole, KINDS))
+
 
 def _pieces(text: Column, kind: Kind) -> Column:
-    """array<struct<before, value, after>>: each match, and the text up to the one before and after it."""
+    """array<struct<before, value, after, context>>: each match, the text up to the one before and after it, and its context."""
     values = F.regexp_extract_all(text, F.lit(kind.java), F.lit(0))
     between = F.split(text, kind.java, -1)
     n = F.size(values)
-    return F.transform(
-        F.arrays_zip(F.slice(between, F.lit(1), n).alias("before"), values.alias("value"), F.slice(between, F.lit(2), n).alias("after")),
-        lambda x: F.struct(x["before"].alias("before"), x["value"].alias("value"), x["after"].alias("after")),
-    )
+    zipped = F.arrays_zip(F.slice(between, F.lit(1), n).alias("before"), values.alias("value"), F.slice(between, F.lit(2), n).alias("after"))
+    piece = lambda x, context: F.struct(x["before"].alias("before"), x["value"].alias("value"), x["after"].alias("after"), context.alias("context"))
+    if not kind.far:
+        return F.transform(zipped, lambda x: piece(x, x["before"]))
+
+    def with_context(pieces: Column, ends: Column) -> Column:
+        """A match has a code point at least, so CONTEXT of them before another are enough."""
+        return F.transform(pieces, lambda x, i: piece(x, F.right(F.concat(F.array_join(F.slice(ends, F.greatest(F.lit(1), i - CONTEXT + 1), F.least(i, F.lit(CONTEXT))), ""), x["before"]), F.lit(CONTEXT))))
+
+    # One-element arrays bind the matches and their ends to names.
+    ends = lambda pieces: F.transform(pieces, lambda x: F.right(F.concat(x["before"], x["value"]), F.lit(CONTEXT)))
+    return F.flatten(F.transform(F.array(zipped), lambda p: F.flatten(F.transform(F.array(ends(p)), lambda e: with_context(p, e)))))
 
 
 def _score(kind: Kind, x: Column) -> Column:
-    near = F.lower(F.right(x["before"], F.lit(CONTEXT))).rlike(kind.context)
+    near = F.lower(F.right(x["context"], F.lit(CONTEXT))).rlike(kind.context)
     return F.when(kind.valid(x["value"], x["before"], x["after"]), F.least(F.lit(1.0), F.lit(kind.prior) + F.when(near, kind.boost).otherwise(0.0))).otherwise(0.0)
 
 
@@ -213,6 +247,9 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, kind: Kind) -> Column:
     """text with the spans of a kind replaced by its name in angle brackets."""
 
+    if kind.prior >= LEAST_SCORE:  # no context is needed
+        kind = replace(kind, far=False)
+
     def join(pieces: Column) -> Column:
         parts = F.transform(pieces, lambda x: F.concat(x["before"], F.when(_score(kind, x) >= LEAST_SCORE, F.lit(f"<{kind.name.upper()}>")).otherwise(x["value"])))
         return F.concat(F.array_join(parts, ""), F.element_at(pieces, -1)["after"])
@@ -221,9 +258,9 @@ def redacted(text: Column, kind: Kind) -> Column:
     return F.when(kind.gate(text), F.element_at(whole, 1)).otherwise(text)
 
 
-def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
     """docs with their texts redacted, one kind after the other (secrets and long spans first); null texts stay null."""
-    order = [k for n in ("secret", "email", "ip", "iban", "phone", "card", "ssn") for k in kinds if k.name == n] + [k for k in kinds if k not in KINDS]
+    order = [k for n in ("secret", "email", "ip", "iban", "phone", "card", "ssn") for k in kinds if k.name == n] + [k for k in kinds if k.name not in {own.name for own in KINDS}]
     for kind in order:
         docs = docs.withColumn(text_col, redacted(F.col(text_col), kind))
     return docs
