@@ -387,6 +387,29 @@ def test_sharding_capacity(spark, seed):
     assert capacity == _least_capacity([groups[h] for h in sorted(groups)], shards) and max(load.values()) <= capacity and len(cuts) < shards
 
 
+def test_sharding_of_many_groups(spark):
+    """Thousands of distinct texts between large groups of copies: many ranges to split that aren't neighbours."""
+    rng = random.Random(9)
+    own = [(rng.randrange(-(2**63), 2**63), rng.randint(20, 3000)) for _ in range(6000)]
+    copies = [(rng.randrange(-(2**63), 2**63), 500) for _ in range(60)]
+    rows = own + [c for c in copies for _ in range(rng.choice([2, 40, 700]))]
+    groups = collections.Counter()
+    for h, s in rows:
+        groups[h] += s
+    for resolution in (1 << 17, 1 << 10):
+        cuts, capacity = sharding.cut_hashes(spark.createDataFrame(rows, "h long, size long"), 40, resolution=resolution, first_bits=9)
+        load = collections.Counter()
+        for h, s in rows:
+            load[sum(h >= c for c in cuts)] += s
+        assert capacity == _least_capacity([groups[h] for h in sorted(groups)], 40) and max(load.values()) <= capacity and len(cuts) < 40
+
+
+def test_write_shards(spark, docs, tmp_path):
+    sharding.write_shards(docs.drop("shard"), f"{tmp_path}/shards", shards=4)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.count() == docs.count() and back.select("text", "shard").distinct().groupBy("text").count().where("count > 1").isEmpty()
+
+
 def test_sharding_rows(spark, docs, empty):
     found = sharding.assign(docs, shards=4, slot_rows=2).collect()
     by_shard, by_text = collections.defaultdict(list), collections.defaultdict(set)

@@ -20,7 +20,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
@@ -130,42 +131,36 @@ def _refined(rows: DataFrame, ranges: Ranges, split: np.ndarray, resolution: int
     fewest = int(ranges.bits[split].min())
     split = split & (ranges.bits == fewest)
     bits = min(64, fewest + max(1, int(math.log2(max(2, (resolution - len(split)) / split.sum())))))
-    width = 1 << (64 - fewest)
-    edges: list[list[int]] = []
-    for low in ranges.low[split].tolist():
-        if edges and edges[-1][1] == low:
-            edges[-1][1] = low + width
-        else:
-            edges.append([low, low + width])
-    inside = F.lit(False)
-    for a, b in edges:
-        inside = inside | F.col("h").between(a, b - 1)
-    new = _sums(rows.where(inside), bits)
+    # At most `resolution` numbers of ranges are broadcast.
+    shift = 64 - fewest
+    wanted = rows.sparkSession.createDataFrame(pa.table({"r": ranges.low[split] >> np.int64(shift)}))
+    inside = rows.withColumn("r", F.shiftright("h", shift)).join(F.broadcast(wanted), "r", "left_semi")
+    new = _sums(inside.select("h", "size"), bits)
     joined = [np.concatenate([getattr(ranges, k)[~split], getattr(new, k)]) for k in ("low", "bits", "size", "atomic")]
     order = np.argsort(joined[0], kind="stable")
     return Ranges(*[x[order] for x in joined])
 
 
+def _light(docs: DataFrame, text: Column, overhead: int, *more: Column) -> DataFrame:
+    return docs.select(*more, (F.octet_length(text) + overhead).cast("bigint").alias("size"), F.xxhash64(text).alias("h"))
+
+
+def _shard(h: Column, cuts: list[int]) -> Column:
+    """How many of the cuts (one less than shards) a hash reaches."""
+    return F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (h >= c).cast("int")) if cuts else F.lit(0)
+
+
 def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, slot_rows: int = 4096) -> DataFrame:
     """(id, size, text_crc32, shard, slot): slot counts a shard's rows from 0 without gaps.
 
     Rows of a shard are numbered in parts of about slot_rows rows, each by its own task, from the parts' counts.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    light = docs.select(
-        F.col(id_col),
-        (F.octet_length(text) + overhead).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("h"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)).alias("u"),
-    )
-    rows = materialise(light, "sizes")
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)).alias("u")
+    rows = materialise(_light(docs, text, overhead, F.col(id_col), F.crc32(text.cast("binary")).alias("text_crc32"), spread), "sizes")
     cuts, _ = cut_hashes(rows.select("h", "size"), shards)
-    shard = F.lit(0)
-    for c in cuts:
-        shard = shard + (F.col("h") >= F.lit(c)).cast("int")
     parts = max(1, math.ceil(rows.count() / shards / slot_rows))
-    placed = rows.withColumn("shard", shard).withColumn("part", F.pmod("u", F.lit(parts)).cast("int"))
+    placed = rows.withColumn("shard", _shard(F.col("h"), cuts)).withColumn("part", F.pmod("u", F.lit(parts)).cast("int"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
     first = counts.select("shard", "part", before.alias("first"))
@@ -173,6 +168,8 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     return placed.withColumn("k", number).join(first, ["shard", "part"]).select(id_col, "size", "text_crc32", "shard", (F.col("first") + F.col("k") - 1).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", **options) -> None:
-    """docs as Parquet in one folder for each shard; ids must be unique and not null."""
-    docs.join(assign(docs, shards, id_col, **options).select(id_col, "shard"), id_col).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, text_col: str = "text", overhead: int = 16) -> None:
+    """docs as Parquet in one folder for each shard; a row's shard follows from its text, so nothing but hashes and sizes is shuffled."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    cuts, _ = cut_hashes(materialise(_light(docs, text, overhead), "sizes"), shards)
+    docs.withColumn("shard", _shard(F.xxhash64(text), cuts)).write.partitionBy("shard").parquet(path)
