@@ -32,6 +32,11 @@ def _kept(df):
 # --- text ---
 
 
+def _readings(spark, raws, column):
+    df = parse.with_reading(spark.createDataFrame(list(enumerate(raws)), "i int, raw string"))
+    return [r[column] for r in df.orderBy("i").collect()]
+
+
 def test_parse_timestamp(spark):
     cases = {
         "5:01 PM\n 1/ 4/90": D(1990, 1, 4, 17, 1),
@@ -54,13 +59,13 @@ def test_parse_timestamp(spark):
         "1 4 90": None,
         "": None,
     }
-    assert _values(spark, list(cases), "raw string", parse.timestamp(F.col("raw"))) == list(cases.values())
-    assert _values(spark, [None], "raw string", parse.timestamp(F.col("raw"))) == [None]
+    assert _readings(spark, cases, "cam_ts") == list(cases.values())
+    assert _readings(spark, [None], "cam_ts") == [None]
 
 
 def test_parse_time_only(spark):
     cases = {"5:01 PM": 17 * 60 + 1, "12:05 AM": 5, "12:00 PM": 720, "5:01": None, "5:01 PM 1/4/90": None, "5:01 PM 99/99/99": None, "5:01 PM MAY 4 90": None, "5:71 PM": None, "x": None}
-    assert _values(spark, list(cases), "raw string", parse.time_only(F.col("raw"))) == list(cases.values())
+    assert _readings(spark, cases, "minute") == list(cases.values())
 
 
 def test_eval_date_and_frame_index(spark):
@@ -347,8 +352,10 @@ def test_evaluator(spark, tmp_path):
     assert [(x.true_change, x.pipeline_cut, x.placement_error_s, x.coarse_error_s) for x in r.collect()] == [(35.0, 32.0, 3.0, 5.0)]
     s = evaluate.summary(r).first()
     assert (s.n, s.median_placement_error_s, s.mean_coarse_error_s) == (1, 3.0, 5.0)
-    caches.write_results(r, evaluate.summary(r), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/summary")).count() == 1
+    caches.write_results(r, str(tmp_path / "out"))
+    out = json.loads(next((tmp_path / "out/tape_id=a").glob("*.json")).read_text())
+    assert out["summary"] == {"count": 1, "pipeline_median_error_s": 3.0, "coarse_median_error_s": 5.0, "total_vision_calls": 0}
+    assert [(b["boundary_idx"], b["old_date"], b["true_change"]) for b in out["boundaries"]] == [(1, "1990-01-01", 35.0)]
 
 
 # --- sources ---
@@ -366,7 +373,36 @@ def test_caches(spark, tmp_path):
     visual = tmp_path / "v_visual_cache.json"
     visual.write_text(json.dumps({"cache_format": 1, "scene_threshold": 0.4, "black_min_duration": 0.1, "scene_cuts": [1.5, 9.0], "black_frames": [4.0]}))
     assert {tuple(r) for r in caches.visual_cache(spark, str(visual)).collect()} == {("v", 1.5, "scene"), ("v", 9.0, "scene"), ("v", 4.0, "black")}
-    assert caches.visual_cache_mismatch(spark, str(visual), dataclasses.replace(DEFAULTS, scene_threshold=0.3)).first().reasons == ["scene_threshold"]
+    assert caches.visual_cache_mismatch(spark, str(visual), settings=dataclasses.replace(DEFAULTS, scene_threshold=0.3)).first().reasons == ["scene_threshold"]
+    pretty = tmp_path / "w_visual_cache.json"
+    pretty.write_text(json.dumps(json.loads(visual.read_text()), indent=1))
+    assert caches.visual_cache(spark, str(pretty), multi_line=True).count() == 3
+
+
+def test_caches_round_trip(spark, tmp_path):
+    samples = spark.createDataFrame([("01", 10.0, "5:01 PM"), ("01", 99_999.5, None), ("a/b c", 20.0, 'x "y"\n'), ("01", 20.0, "")], "tape_id string, video_t double, raw string")
+    caches.write_sample_cache(samples, str(tmp_path / "s"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(caches.sample_cache(spark, str(tmp_path / "s"))) == rows(samples)
+    assert caches.sample_cache(spark, str(tmp_path / "s"), settings=dataclasses.replace(DEFAULTS, interval=3)).count() == 0
+    events = spark.createDataFrame([("01", 1.5, "scene"), ("01", 90_000.0, "black"), ("a/b c", 2.0, "black")], "tape_id string, t double, kind string")
+    caches.write_visual_cache(events, str(tmp_path / "v"))
+    assert rows(caches.visual_cache(spark, str(tmp_path / "v"))) == rows(events)
+    assert {tuple(r.reasons) for r in caches.visual_cache_mismatch(spark, str(tmp_path / "v")).collect()} == {()}
+    readings = spark.createDataFrame([("01", 30, 41, "1/2/90"), ("01", 20_000, 7, "NOISE"), ("a+b", 30, 41, "1/3/90")], "tape_id string, coarse int, t int, raw string")
+    caches.write_readings_map(readings, str(tmp_path / "r"))
+    assert {(r.tape_id, r.coarse, r.t, r.dt) for r in caches.readings_map(spark, str(tmp_path / "r")).collect()} == {("01", 30, 41, D(1990, 1, 2)), ("01", 20_000, 7, None), ("a+b", 30, 41, D(1990, 1, 3))}
+
+
+def test_rows_at_one_position_and_empty_tables(spark):
+    """Repeated positions are ordered by their clocks, so results don't depend on how rows are dealt."""
+    s = D(1990, 1, 1, 12)
+    rows = [("a", 10.0 * (i // 2), s + dt.timedelta(hours=(i * 7) % 5)) for i in range(30)] * 2
+    make = lambda r, n: spark.createDataFrame(r, "tape_id string, video_t double, cam_ts timestamp_ntz").repartition(n)
+    results = {tuple(sorted(map(str, segment.boundaries(clean.clean(make(random.Random(n).sample(rows, len(rows)), n))).collect()))) for n in (1, 3)}
+    assert len(results) == 1
+    none = make([], 1)
+    assert clean.clean(none).count() == 0 and segment.boundaries(none).count() == 0 and label.confirmed(none).count() == 0
 
 
 def test_wire_and_logs(spark):

@@ -35,7 +35,6 @@ class Settings:
     #: Key frames and cut plan.
     look_back: float = 30.0
     look_ahead: float = 30.0
-    key_slack: float = 5.0
     least_segment: float = 0.05
     #: Years that a reading may have, and the first two-digit year of the 1900s.
     first_year: int = 1985

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Settings
@@ -21,12 +21,18 @@ READING_NAME = r"^b0*(\d+)_t0*(\d+)\.png"
 
 def normalized(raw: Column) -> Column:
     """Runs of line ends and of spaces as one space each, and none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(raw, r"[\n\r]+", " "), " +", " "))
+    one_line = F.when(raw.contains("\n") | raw.contains("\r"), F.regexp_replace(raw, r"[\n\r]+", " ")).otherwise(raw)
+    return F.trim(F.when(one_line.contains("  "), F.regexp_replace(one_line, " +", " ")).otherwise(one_line))
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
-    """A group of the first match as INT; null where there is none."""
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    """A group of digits of the first match as INT; null where there is none."""
+    return _int(F.regexp_extract(text, pattern, group))
+
+
+def _int(digits: Column) -> Column:
+    """Digits or an empty string as INT; a cast that fails on the empty string is far dearer than this test."""
+    return F.when(digits != "", digits.cast("int"))
 
 
 def full_year(year: Column, pivot: int) -> Column:
@@ -42,58 +48,55 @@ def _made(y: Column, mo: Column, d: Column, h: Column, mi: Column) -> Column:
     return F.try_make_timestamp_ntz(y, mo, d, h, mi, F.lit(0).cast("decimal(16,6)"))
 
 
-def reading(raw: Column, settings: Settings = DEFAULTS) -> Column:
-    """struct<cam_ts, minute> of a reading.
+def with_reading(rows: DataFrame, raw: str = "raw", settings: Settings = DEFAULTS, cam_ts: str = "cam_ts", minute: str | None = "minute") -> DataFrame:
+    """rows with what a reading says, in plain steps that whole-stage code compiles.
 
     cam_ts: its TIMESTAMP_NTZ, null without a plausible date; a time without meridian is midnight, an impossible one
-    makes the whole reading null. minute: the minute of the day of a time with meridian in text without any form of date.
+    makes the whole reading null. minute: the minute of the day of a time with meridian in text without any form of
+    date. Null and empty text has neither. Names that begin with __ are used inside.
     """
-
-    def found(flat: Column) -> Column:
-        """The first date and time in the text; the dear search for a month's name only where there is no numeric date."""
-        numeric = F.regexp_extract(flat, DATE, 0)
-        return F.struct(numeric.alias("numeric"), F.when(numeric == "", F.regexp_extract(flat, WORD_DATE, 0)).alias("word"), F.regexp_extract(flat, TIME, 0).alias("time"))
-
-    def fields(x: Column) -> Column:
-        n, w, t = F.split(x["numeric"], "/"), x["word"], x["time"]
-        parts = [F.trim(F.get(n, F.lit(k))).try_cast("int") for k in range(3)]
-        hour, rest = F.substring_index(t, ":", 1).try_cast("int"), F.substring(t, F.instr(t, ":") + 1, F.lit(2)).try_cast("int")
-        return F.struct(
-            (x["numeric"] != "").alias("numeric"),
-            *[v.alias(f"n{k}") for k, v in enumerate(parts, 1)],
-            F.when(w != "", F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(F.left(w, F.lit(3)))).cast("int")).alias("w1"),
-            *[F.when(w != "", _part(w, WORD_DATE, k)).alias(f"w{k}") for k in (2, 3)],
-            hour.alias("t1"),
-            rest.alias("t2"),
-            F.when(t.rlike("[A-Za-z]$"), F.upper(F.right(t, F.lit(2)))).otherwise("").alias("meridian"),
-        )
-
-    def merged(f: Column) -> Column:
-        pick = lambda k: F.when(f["numeric"], f[f"n{k}"]).otherwise(f[f"w{k}"])
-        hour = F.when((f["meridian"] == "PM") & (f["t1"] != 12), f["t1"] + 12).when((f["meridian"] == "AM") & (f["t1"] == 12), 0).otherwise(f["t1"])
-        return F.struct((f["numeric"] | F.coalesce(f["w1"] > 0, F.lit(False))).alias("dated"), pick(1).alias("mo"), pick(2).alias("d"), full_year(pick(3), settings.pivot).alias("y"), (f["meridian"] != "").alias("timed"), hour.alias("h"), f["t2"].alias("mi"))
-
-    def out(m: Column) -> Column:
-        ts = _made(m["y"], m["mo"], m["d"], F.when(m["timed"], m["h"]).otherwise(0), F.when(m["timed"], m["mi"]).otherwise(0))
-        plausible = m["dated"] & m["y"].between(settings.first_year, settings.last_year)
-        of_day = ~m["dated"] & m["timed"] & m["h"].between(0, 23) & m["mi"].between(0, 59)
-        return F.struct(F.when(plausible, ts).alias("cam_ts"), F.when(of_day, m["h"] * 60 + m["mi"]).alias("minute"))
-
-    return _bound(normalized(raw), lambda flat: _bound(found(flat), lambda x: _bound(fields(x), lambda f: _bound(merged(f), out))))
-
-
-def timestamp(raw: Column, settings: Settings = DEFAULTS) -> Column:
-    return reading(raw, settings)["cam_ts"]
-
-
-def time_only(raw: Column) -> Column:
-    return reading(raw)["minute"]
+    col = F.col
+    numeric, word = col("__num") != "", col("__word") != ""
+    out = rows.withColumn("__flat", normalized(col(raw)))
+    # Searches only where a cheap test finds what they need, that for a month's name only without a numeric date.
+    found = lambda test, pattern: F.when(test, F.regexp_extract("__flat", pattern, 0)).otherwise("")
+    out = out.withColumns({"__num": found(col("__flat").contains("/"), DATE), "__time": found(col("__flat").contains(":"), TIME)})
+    out = out.withColumn("__word", found((col("__num") == "") & col("__flat").rlike("[A-Za-z]{3}"), WORD_DATE))
+    n = F.split("__num", "/")
+    out = out.withColumns(
+        {
+            **{f"__n{k}": F.when(numeric, F.trim(F.get(n, F.lit(k))).cast("int")) for k in range(3)},
+            "__month": F.when(word, F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(F.left("__word", F.lit(3)))).cast("int")),
+            **{f"__w{k}": F.when(word, _part(col("__word"), WORD_DATE, k + 1)) for k in (1, 2)},
+            "__hour": _int(F.substring_index("__time", ":", 1)),
+            "__mi": _int(F.substring(col("__time"), F.instr("__time", ":") + 1, F.lit(2))),
+            "__mer": F.when(F.right("__time", F.lit(1)).rlike("[A-Za-z]"), F.upper(F.right("__time", F.lit(2)))).otherwise(""),
+        }
+    )
+    hour = F.when((col("__mer") == "PM") & (col("__hour") != 12), col("__hour") + 12).when((col("__mer") == "AM") & (col("__hour") == 12), 0).otherwise(col("__hour"))
+    out = out.withColumns(
+        {
+            "__dated": numeric | F.coalesce(col("__month") > 0, F.lit(False)),
+            "__timed": col("__mer") != "",
+            "__y": full_year(F.coalesce("__n2", "__w2"), settings.pivot),
+            "__mo": F.coalesce("__n0", "__month"),
+            "__d": F.coalesce("__n1", "__w1"),
+            "__h": hour,
+        }
+    )
+    ts = _made(col("__y"), col("__mo"), col("__d"), F.when(col("__timed"), col("__h")).otherwise(0), F.when(col("__timed"), col("__mi")).otherwise(0))
+    made = [F.when(col("__dated") & col("__y").between(settings.first_year, settings.last_year), ts).alias(cam_ts)]
+    if minute:
+        of_day = ~col("__dated") & col("__timed") & col("__h").between(0, 23) & col("__mi").between(0, 59)
+        made.append(F.when(of_day, col("__h") * 60 + col("__mi")).alias(minute))
+    # A generator of one row: conditions on the result aren't pushed below it, where each would repeat all steps many times over.
+    return out.select(*[col(f"`{c}`") for c in rows.columns if c not in (cam_ts, minute)], F.inline(F.array(F.struct(*made))))
 
 
 def eval_date(raw: Column, settings: Settings = DEFAULTS) -> Column:
     """The evaluator's date: numeric form with a two-digit year, at midnight."""
     year = full_year(_part(raw, EVAL_DATE, 3), settings.eval_pivot)
-    return _made(year, _part(raw, EVAL_DATE, 1), _part(raw, EVAL_DATE, 2), F.lit(0), F.lit(0))
+    return F.when(raw.contains("/"), _made(year, _part(raw, EVAL_DATE, 1), _part(raw, EVAL_DATE, 2), F.lit(0), F.lit(0)))
 
 
 def _lenient(raw: Column, pattern: str, most: int) -> Column:

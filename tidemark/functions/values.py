@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULTS, Settings
 
 
+def clock(ts: Column) -> Column:
+    """Whole seconds of a TIMESTAMP_NTZ since 1970, whatever the session's time zone."""
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def seconds(start: Column, end: Column) -> Column:
     """Seconds from one timestamp to another."""
-    return F.timestamp_diff("SECOND", start, end)
+    return clock(end) - clock(start)
 
 
 def drift(t_a: Column, ts_a: Column, t_b: Column, ts_b: Column) -> Column:

@@ -13,8 +13,8 @@ from tidemark.operators.sample import by_time
 
 def dead_zones(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(tape_id, coarse_t, prev_t, none_start, none_span_s, old_dt, new_dt): short unreadable runs between two dates, of samples (tape_id, video_t, raw)."""
-    dated = samples.select("tape_id", "video_t", parse.eval_date(F.col("raw"), settings).alias("dt")).withColumn("next_t", F.lead("video_t").over(by_time())).where("dt IS NOT NULL")
-    dated = dated.withColumns({"prev_t": F.lag("video_t").over(by_time()), "old_dt": F.lag("dt").over(by_time()), "none_start": F.lag("next_t").over(by_time())})
+    dated = samples.select("tape_id", "video_t", parse.eval_date(F.col("raw"), settings).alias("dt")).withColumn("next_t", F.lead("video_t").over(by_time("dt"))).where("dt IS NOT NULL")
+    dated = dated.withColumns({n: F.lag(c).over(by_time("dt")) for n, c in (("prev_t", "video_t"), ("old_dt", "dt"), ("none_start", "next_t"))})
     span = F.col("video_t") - F.col("none_start")
     kept = dated.where((F.col("none_start") < F.col("video_t")) & (F.to_date("old_dt") != F.to_date("dt")) & (span < settings.dead_zone))
     return kept.select("tape_id", F.col("video_t").alias("coarse_t"), "prev_t", "none_start", span.alias("none_span_s"), "old_dt", F.col("dt").alias("new_dt"))
@@ -57,13 +57,14 @@ def nearest_cuts(zones: DataFrame, clips: DataFrame, settings: Settings = DEFAUL
 
 
 def results(zones: DataFrame, clips: DataFrame, readings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(tape_id, coarse_t, none_span_s, old_dt, new_dt, true_change, pipeline_cut, placement_error_s, coarse_error_s); zones without a true change are skipped."""
-    out = nearest_cuts(true_changes(zones, readings, settings), clips, settings).where("true_change IS NOT NULL")
+    """(tape_id, boundary_idx, coarse_t, none_span_s, old_dt, new_dt, true_change, pipeline_cut, placement_error_s, coarse_error_s); boundary_idx counts a tape's zones from 1; those without a true change are skipped."""
+    numbered = zones.withColumn("boundary_idx", F.row_number().over(Window.partitionBy("tape_id").orderBy("coarse_t")))
+    out = nearest_cuts(true_changes(numbered, readings, settings), clips, settings).where("true_change IS NOT NULL")
 
     def error(of: str) -> Column:
         return F.abs(F.col(of) - F.col("true_change"))
 
-    return out.select("tape_id", "coarse_t", "none_span_s", "old_dt", "new_dt", "true_change", "pipeline_cut", error("pipeline_cut").alias("placement_error_s"), error("coarse_t").alias("coarse_error_s"))
+    return out.select("tape_id", "boundary_idx", "coarse_t", "none_span_s", "old_dt", "new_dt", "true_change", "pipeline_cut", error("pipeline_cut").alias("placement_error_s"), error("coarse_t").alias("coarse_error_s"))
 
 
 def summary(of: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def asof(left: DataFrame, right: DataFrame, at: str, right_at: str, name: str, forward: bool = False, strict: bool = False, key: str = "tape_id") -> DataFrame:
     """left with a struct column `name`: right's row nearest at or before left's `at` (forward: at or after; strict: not at it); null without one.
 
-    Of several right rows at that position any one is taken; rows of left with a null position get null.
+    Of several right rows at that position the one whose columns are greatest in their order is taken; rows of left
+    with a null position get null, right ones are dropped; repeated rows of left each get theirs.
     """
     own, other = left.columns, [c for c in right.columns if c != key]
     left_type = left.select(F.struct(*own).alias("s")).schema["s"].dataType.simpleString()
@@ -18,6 +19,6 @@ def asof(left: DataFrame, right: DataFrame, at: str, right_at: str, name: str, f
     rights = right.where(F.col(right_at).isNotNull()).select(F.col(key).alias("__key"), F.col(right_at).cast("double").alias("__at"), F.lit(1).alias("__right"), F.lit(None).cast(left_type).alias("__l"), F.struct(*other).alias("__r"))
     place = F.desc("__at") if forward else F.asc("__at")
     tie = F.asc("__right") if strict else F.desc("__right")
-    seen = Window.partitionBy("__key").orderBy(place, tie).rowsBetween(Window.unboundedPreceding, 0)
+    seen = Window.partitionBy("__key").orderBy(place, tie, "__r").rowsBetween(Window.unboundedPreceding, 0)
     found = lefts.unionByName(rights).withColumn("__m", F.when(F.col("__at").isNotNull(), F.last("__r", ignorenulls=True).over(seen)))
     return found.where("__right = 0").select("__l.*", F.col("__m").alias(name))

@@ -43,7 +43,7 @@ def labelled(clips: DataFrame, filtered: DataFrame, found: DataFrame, mode: str,
     date, so one as-of join finds either.
     """
     sure = confirmed(filtered, settings).where("confirmed").withColumn("__d", F.to_date("cam_ts"))
-    back = Window.partitionBy("tape_id").orderBy(F.desc("video_t"))
+    back = Window.partitionBy("tape_id").orderBy(F.desc("video_t"), F.desc("cam_ts"))
     following = F.lag("__d").over(back)
     changed = F.when(F.col("__d") != following, F.lag("cam_ts").over(back))
     sure = sure.withColumn("__c", changed).withColumn("other", F.last("__c", ignorenulls=True).over(back))

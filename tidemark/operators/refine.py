@@ -61,7 +61,7 @@ def coarse_requests(windows: DataFrame) -> DataFrame:
 
 def judged(readings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Answered requests with cam_ts and side: 'new' if the clock jumped to the date expected, 'old' if legible else, null if not."""
-    out = readings.withColumn("cam_ts", parse.timestamp(F.col("raw"), settings))
+    out = parse.with_reading(readings, "raw", settings, minute=None)
     gain = seconds(F.col("prev_dt"), F.col("cam_ts"))
     new = (gain > F.col("t") - F.col("prev_t") + settings.large_gap) | (gain < settings.backward)
     expected = F.coalesce(F.to_date("cam_ts") == F.to_date("cam_after"), F.lit(True))

@@ -10,56 +10,66 @@ from tidemark.config import DEFAULTS, Settings
 from tidemark.functions import parse
 
 
-def by_time() -> WindowSpec:
-    """A tape in the order of its positions."""
-    return Window.partitionBy("tape_id").orderBy("video_t")
+#: The order of a tape's dated rows as SQL has it: by_time()'s.
+ORDER = "video_t, cam_ts"
+
+
+def by_time(tie: str = "cam_ts") -> WindowSpec:
+    """A tape in the order of its positions; rows at one position in the order of another column, nulls first."""
+    return Window.partitionBy("tape_id").orderBy("video_t", tie)
 
 
 def parsed(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """samples (tape_id, video_t, raw) with cam_ts and minute (of the day, where there is a time only)."""
-    return samples.withColumn("__r", parse.reading(F.col("raw"), settings)).withColumns({"cam_ts": F.col("__r.cam_ts"), "minute": F.col("__r.minute")}).drop("__r")
+    return parse.with_reading(samples, "raw", settings)
 
 
 def bucket(frame_idx: Column, settings: Settings = DEFAULTS) -> Column:
     return F.floor(frame_idx / settings.frames_per_sample).cast("int")
 
 
+def _votes(frames: DataFrame, by: list[str], settings: Settings) -> DataFrame:
+    """(by…, best, timed, last, n_frames) of frames (…, frame_idx, raw); all groupings go by one shuffle of the buckets."""
+    own = parsed(frames.withColumn("bucket", bucket(F.col("frame_idx"), settings)), settings).repartition("tape_id", "bucket")
+    readings = own.groupBy(*by, "cam_ts").agg(
+        F.count("*").alias("n"),
+        F.min(F.struct("frame_idx", "raw")).alias("first"),
+        F.max("frame_idx").alias("last"),
+        F.min(F.when(F.col("minute").isNotNull(), F.struct("frame_idx", "raw"))).alias("timed"),
+    )
+    best = F.max(F.when(F.col("cam_ts").isNotNull(), F.struct("n", (-F.col("first.frame_idx")).alias("rank"), "cam_ts", F.col("first.raw").alias("raw"))))
+    return readings.groupBy(*by).agg(best.alias("best"), F.min("timed").alias("timed"), F.max("last").alias("last"), F.sum("n").alias("n_frames"))
+
+
+def _position(last: Column, settings: Settings) -> Column:
+    return last * settings.interval / settings.frames_per_sample
+
+
 def vote(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(tape_id, bucket, video_t, cam_ts, raw, n_frames) of frames (tape_id, frame_idx, raw).
 
     The timestamp that most frames read, on ties the one read first, with the text of its first frame; without any,
-    the first text with a time only; else nulls. video_t is the position of the bucket's last frame.
+    the first text with a time only; else nulls. video_t is the position of the bucket's last frame. Of repeated
+    frames each counts, and the text that sorts first is its frame's; no frames give no rows.
     """
-    own = parsed(frames.withColumn("bucket", bucket(F.col("frame_idx"), settings)), settings)
-    readings = own.groupBy("tape_id", "bucket", "cam_ts").agg(
-        F.count("*").alias("n"),
-        F.min("frame_idx").alias("first"),
-        F.max("frame_idx").alias("last"),
-        F.min_by("raw", "frame_idx").alias("raw"),
-        F.min(F.when(F.col("minute").isNotNull(), F.struct("frame_idx", "raw"))).alias("timed"),
-    )
-    dated = F.col("cam_ts").isNotNull()
-    best = F.max(F.when(dated, F.struct("n", (-F.col("first")).alias("rank"), "cam_ts", "raw")))
-    out = readings.groupBy("tape_id", "bucket").agg(best.alias("best"), F.min("timed").alias("timed"), F.max("last").alias("last"), F.sum("n").alias("n_frames"))
-    return out.select(
-        "tape_id",
-        "bucket",
-        (F.col("last") * settings.interval / settings.frames_per_sample).alias("video_t"),
-        F.col("best.cam_ts").alias("cam_ts"),
-        F.coalesce("best.raw", "timed.raw").alias("raw"),
-        "n_frames",
-    )
+    out = _votes(frames.select("tape_id", "frame_idx", "raw"), ["tape_id", "bucket"], settings)
+    return out.select("tape_id", "bucket", _position(F.col("last"), settings).alias("video_t"), F.col("best.cam_ts").alias("cam_ts"), F.coalesce("best.raw", "timed.raw").alias("raw"), "n_frames")
 
 
 def two_phase(primary: DataFrame, fallback: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Votes of the primary frames; buckets that they don't solve take the fallback's, if both passes have as many frames of the tape."""
-    first, second = vote(primary, settings), vote(fallback, settings)
-    totals = first.groupBy("tape_id").agg(F.sum("n_frames").alias("n1")).join(second.groupBy("tape_id").agg(F.sum("n_frames").alias("n2")), "tape_id", "left")
-    other = second.select("tape_id", "bucket", F.struct("cam_ts", "raw").alias("other"))
-    both = first.join(other, ["tape_id", "bucket"], "left").join(totals, "tape_id")
-    own = F.struct("cam_ts", "raw")
-    chosen = F.when(F.col("raw").isNotNull(), own).when(F.col("n1") == F.col("n2"), F.col("other")).otherwise(own)
-    return both.withColumn("chosen", chosen).select("tape_id", "bucket", "video_t", F.col("chosen.cam_ts").alias("cam_ts"), F.col("chosen.raw").alias("raw"), F.col("raw").isNotNull().alias("solved_first"))
+    """Votes of the primary frames; buckets that they don't solve take the fallback's, if both passes have as many frames of the tape.
+
+    Both passes are one table and vote once; a tape's frames are counted before, so that no tape meets in one task.
+    """
+    both = primary.select("tape_id", "frame_idx", "raw", F.lit(False).alias("second")).unionByName(fallback.select("tape_id", "frame_idx", "raw", F.lit(True).alias("second")))
+    votes = _votes(both, ["tape_id", "bucket", "second"], settings).select("tape_id", "bucket", "second", "last", "n_frames", F.struct(F.col("best.cam_ts").alias("cam_ts"), F.coalesce("best.raw", "timed.raw").alias("raw")).alias("vote"))
+    of = lambda c, second: F.max(F.when(F.col("second") == second, F.col(c)))
+    pairs = votes.groupBy("tape_id", "bucket").agg(of("last", False).alias("last"), of("vote", False).alias("own"), of("vote", True).alias("other")).where("own IS NOT NULL")
+    signed = F.when(F.col("second"), -1).otherwise(1)
+    unequal = both.groupBy("tape_id").agg(F.sum(signed).alias("more")).where("more <> 0").select("tape_id", F.lit(True).alias("unequal"))
+    solved = F.col("own.raw").isNotNull()
+    chosen = F.when(solved | F.coalesce("unequal", F.lit(False)), F.col("own")).otherwise(F.col("other"))
+    return pairs.join(unequal, "tape_id", "left").withColumn("chosen", chosen).select("tape_id", "bucket", _position(F.col("last"), settings).alias("video_t"), F.col("chosen.cam_ts").alias("cam_ts"), F.col("chosen.raw").alias("raw"), solved.alias("solved_first"))
 
 
 def fill_time_only(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -80,7 +90,7 @@ def fill_time_only(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFra
         .withColumn("__first", first)
         .withColumn("__segment", F.count(F.when(dated, 1)).over(by_time()))
         .withColumn("__anchor", F.coalesce(F.max("cam_ts").over(in_segment), F.col("__first")))
-        .withColumn("__wraps", F.sum("__wrap").over(in_segment.orderBy("video_t")))
+        .withColumn("__wraps", F.sum("__wrap").over(in_segment.orderBy("video_t", "cam_ts")))
     )
     filled = F.date_add(F.to_date("__anchor"), F.col("__wraps").cast("int")).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("minute"))
     return marked.withColumn("cam_ts", F.when(timed, filled).otherwise(F.col("cam_ts"))).drop("__of_day", "__wrap", "__first", "__segment", "__anchor", "__wraps")

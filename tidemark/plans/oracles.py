@@ -236,13 +236,13 @@ FROM up LEFT JOIN gn USING (tape_id, boundary_id) LEFT JOIN anc USING (tape_id,
 
 _cte("ed0", "smp", f"SELECT tape_id, video_t, {_eval_date('raw')} AS dt, lead(video_t) OVER (PARTITION BY tape_id ORDER BY video_t) AS nt FROM smp")
 _cte("ed", "ed0", "SELECT *, lag(video_t) OVER w AS prev_t, lag(dt) OVER w AS old_dt, lag(nt) OVER w AS none_start FROM ed0 WHERE dt IS NOT NULL WINDOW w AS (PARTITION BY tape_id ORDER BY video_t)")
-_cte("zone", "ed", f"SELECT tape_id, video_t AS coarse_t, prev_t, none_start, video_t - none_start AS none_span_s, old_dt, dt AS new_dt FROM ed WHERE none_start < video_t AND CAST(old_dt AS DATE) <> CAST(dt AS DATE) AND video_t - none_start < {DEFAULTS.dead_zone}")
+_cte("zone", "ed", f"SELECT tape_id, CAST(row_number() OVER (PARTITION BY tape_id ORDER BY video_t) AS INT) AS boundary_idx, video_t AS coarse_t, prev_t, none_start, video_t - none_start AS none_span_s, old_dt, dt AS new_dt FROM ed WHERE none_start < video_t AND CAST(old_dt AS DATE) <> CAST(dt AS DATE) AND video_t - none_start < {DEFAULTS.dead_zone}")
 _cte("ecl", "clips_daily", f"SELECT tape_id, clip_no, file_name AS name, end_t - start_t AS duration_s, coalesce(sum(end_t - start_t) OVER (PARTITION BY tape_id ORDER BY clip_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start_t FROM ({_NAMED.format('clips_daily')})")
 _cte("erd", "zone rd", f"SELECT tape_id, c + c % 3 AS coarse, t, {_eval_date('raw')} AS dt FROM (SELECT tape_id, CAST(coarse_t AS INT) AS c, CAST(unnest(range(CAST(coarse_t AS INT) - 10, CAST(coarse_t AS INT) + 6)) AS INT) AS t FROM zone) JOIN rd USING (tape_id, t)")
 _cte("ekey", "zone erd", f"SELECT z.tape_id, z.coarse_t, arg_min(g.coarse, (abs(g.coarse - z.coarse_t), g.coarse)) AS coarse FROM zone z JOIN (SELECT DISTINCT tape_id, coarse FROM erd) g ON g.tape_id = z.tape_id AND abs(g.coarse - z.coarse_t) <= {DEFAULTS.eval_group_distance} GROUP BY ALL")
 _cte("etrue", "zone ekey erd", "SELECT tape_id, coarse_t, CAST(min(r.t) AS DOUBLE) AS true_change FROM zone z JOIN ekey USING (tape_id, coarse_t) JOIN erd r USING (tape_id, coarse) WHERE CAST(r.dt AS DATE) <> CAST(z.old_dt AS DATE) GROUP BY ALL")
 _cte("ecut", "zone ecl", f"SELECT z.tape_id, z.coarse_t, arg_min(c.start_t, (abs(c.start_t - z.coarse_t), c.clip_no)) AS pipeline_cut FROM zone z JOIN ecl c ON c.tape_id = z.tape_id AND contains(c.name, strftime(z.new_dt, '%Y-%m-%d')) AND abs(c.start_t - z.coarse_t) < {DEFAULTS.eval_cut_distance} GROUP BY ALL")
-_cte("eres", "zone etrue ecut", "SELECT tape_id, coarse_t, none_span_s, old_dt, new_dt, true_change, pipeline_cut, abs(pipeline_cut - true_change) AS placement_error_s, abs(coarse_t - true_change) AS coarse_error_s FROM zone JOIN etrue USING (tape_id, coarse_t) LEFT JOIN ecut USING (tape_id, coarse_t)")
+_cte("eres", "zone etrue ecut", "SELECT tape_id, boundary_idx, coarse_t, none_span_s, old_dt, new_dt, true_change, pipeline_cut, abs(pipeline_cut - true_change) AS placement_error_s, abs(coarse_t - true_change) AS coarse_error_s FROM zone JOIN etrue USING (tape_id, coarse_t) LEFT JOIN ecut USING (tape_id, coarse_t)")
 
 # --- key frames ---
 
@@ -287,7 +287,7 @@ SQL: dict[str, str] = {
     "drop_month_runs": _sql("SELECT * FROM s4", "s4"),
     "drop_outliers": _sql("SELECT * FROM flt", "flt"),
     "boundaries": _sql("SELECT * FROM bnd", "bnd"),
-    "fuse_boundaries": _sql(f"SELECT tape_id, boundary_id, video_t FROM bnd b WHERE EXISTS (SELECT 1 FROM vis v WHERE v.tape_id = b.tape_id AND v.t % 7 < 1 AND v.t BETWEEN b.prev_t - {DEFAULTS.fuse_window} AND b.video_t + {DEFAULTS.fuse_window})", "bnd vis"),
+    "fuse_boundaries": _sql(f"SELECT tape_id, boundary_id, video_t FROM bnd b WHERE EXISTS (SELECT 1 FROM vis v WHERE v.tape_id = b.tape_id AND v.t BETWEEN b.prev_t - {DEFAULTS.fuse_window} AND b.video_t + {DEFAULTS.fuse_window})", "bnd vis"),
     **{f"group_{m}": _sql(f"SELECT * FROM cut_{m}", f"cut_{m}") for m in ("scene", "session", "daily")},
     "merge_short": _sql("SELECT tape_id, cut_t, boundary_id FROM m_scene", "m_scene"),
     "suppress_orphans": _sql(
@@ -305,9 +305,14 @@ SELECT *, coalesce(g AND lag(g) OVER w AND cut_t - lag(cut_t) OVER w < {DEFAULTS
     "keyframe_before": _sql(f"SELECT tape_id, cut_t, greatest(k, 0.0, cut_t - {DEFAULTS.look_back}) AS key_t FROM kb", "kb"),
     "keyframe_after": _sql("SELECT tape_id, cut_t, coalesce(k, cut_t) AS key_t FROM ka", "ka"),
     "clip_segments": _sql("SELECT * FROM seg3 UNION ALL SELECT tape_id, clip_no, 1, 'whole', start_t, end_t, 'copy' FROM seg WHERE (tape_id, clip_no) NOT IN (SELECT (tape_id, clip_no) FROM seg3)", "seg3"),
-    "dead_zones": _sql("SELECT * FROM zone", "zone"),
+    "dead_zones": _sql("SELECT * EXCLUDE (boundary_idx) FROM zone", "zone"),
     "clip_start_times": _sql("SELECT * FROM ecl", "ecl"),
     "eval_results": _sql("SELECT * FROM eres", "eres"),
+    "sink_eval_json": _sql(
+        "SELECT tape_id, count(*) AS listed, min(boundary_idx) AS first_idx, max(coarse_t) AS last_t, count(*) AS count, median(placement_error_s) AS pipeline_median_error_s, median(coarse_error_s) AS coarse_median_error_s FROM eres GROUP BY tape_id", "eres"
+    ),
+    "visual_cache_mismatch": _sql("SELECT DISTINCT tape_id, CASE WHEN CAST(tape_id AS INT) % 2 = 1 THEN 'cache_format,scene_threshold' ELSE '' END AS reasons FROM vis", "vis"),
+    "src_readings_map": _sql(f"SELECT tape_id, CAST(t // 100 * 100 AS INT) AS coarse, t, {_eval_date('raw')} AS dt FROM rd WHERE raw <> ''", "rd"),
     "eval_summary": _sql("SELECT count(*) AS n, median(placement_error_s) AS median_placement_error_s, max(placement_error_s) AS max_placement_error_s, avg(placement_error_s) AS mean_placement_error_s, median(coarse_error_s) AS median_coarse_error_s, max(coarse_error_s) AS max_coarse_error_s, avg(coarse_error_s) AS mean_coarse_error_s FROM eres", "eres"),
 }
 

@@ -67,9 +67,7 @@ def src_sample_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples through their JSON cache."""
     path = shared.fresh_path(spark, "samples")
     caches.write_sample_cache(tables.samples(spark, sf_dir).select("tape_id", "video_t", "raw"), path)
-    back = spark.read.schema(f"{caches._SAMPLES}, tape_id STRING").json(path)
-    rows = back.select("tape_id", F.explode("samples").alias("s"))
-    return rows.select("tape_id", F.get("s", F.lit(0)).cast("double").alias("video_t"), F.get("s", F.lit(1)).alias("raw"))
+    return caches.sample_cache(spark, path)
 
 
 @_query
@@ -77,8 +75,27 @@ def src_visual_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visual events through their JSON cache."""
     path = shared.fresh_path(spark, "visual")
     caches.write_visual_cache(tables.visual_events(spark, sf_dir), path)
-    back = spark.read.schema(f"{caches._VISUAL}, tape_id STRING").json(path)
-    return back.select("tape_id", F.explode("scene_cuts").alias("t"), F.lit("scene").alias("kind")).unionByName(back.select("tape_id", F.explode("black_frames").alias("t"), F.lit("black").alias("kind")))
+    return caches.visual_cache(spark, path)
+
+
+@_query
+def visual_cache_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why caches of the visual events, half of the tapes' written with another threshold, can't be used."""
+    path, events = shared.fresh_path(spark, "visual"), tables.visual_events(spark, sf_dir)
+    odd, settings = F.col("tape_id").cast("int") % 2 == 1, dataclasses.replace(DEFAULTS, scene_threshold=0.3, visual_cache_format=0)
+    caches.write_visual_cache(events.where(odd), f"{path}/odd", settings)
+    caches.write_visual_cache(events.where(~odd), f"{path}/even")
+    reasons = [caches.visual_cache_mismatch(spark, f"{path}/{k}") for k in ("odd", "even")]
+    return reasons[0].unionByName(reasons[1]).groupBy("tape_id").agg(F.max(F.array_join("reasons", ",")).alias("reasons"))
+
+
+@_query
+def src_readings_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of each second through the JSON map of a tape's readings, whose names have a coarse position and a second."""
+    path = shared.fresh_path(spark, "readings")
+    r = tables.readings(spark, sf_dir).where("raw <> ''")
+    caches.write_readings_map(r.withColumn("coarse", (F.floor(F.col("t") / 100) * 100).cast("int")), path)
+    return caches.readings_map(spark, path)
 
 
 @_query
@@ -114,7 +131,9 @@ def fn_parse_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tables.samples(spark, sf_dir).where("raw IS NOT NULL").select("tape_id", "video_t", F.col("raw").alias("a"))
     word = F.regexp_replace("a", r"M 1/ (\d+)/(\d+)", "M Jan. $1  $2")
     odd = F.regexp_replace(F.regexp_replace("a", " ", " \n "), r":(\d\d) ?", ":$1:59 ")
-    return s.select("tape_id", "video_t", *[parse.timestamp(x).alias(n) for n, x in (("plain", F.col("a")), ("word", word), ("odd", odd))])
+    for name, text in (("plain", F.col("a")), ("word", word), ("odd", odd)):
+        s = parse.with_reading(s.withColumn("__raw", text), "__raw", cam_ts=name, minute=None)
+    return s.select("tape_id", "video_t", "plain", "word", "odd")
 
 
 @_query
@@ -236,8 +255,7 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def fuse_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rare = tables.visual_events(spark, sf_dir).where("t % 7 < 1")
-    return segment.fuse(_boundaries(spark, sf_dir), rare).select("tape_id", "boundary_id", "video_t")
+    return segment.fuse(_boundaries(spark, sf_dir), tables.visual_events(spark, sf_dir)).select("tape_id", "boundary_id", "video_t")
 
 
 def _cuts(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
@@ -296,7 +314,9 @@ def clips_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def same_date_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label.same_date_neighbours(label.labelled(label.clip_bounds(_cuts(spark, sf_dir, "session"), tables.tapes(spark, sf_dir)), _filtered(spark, sf_dir), _boundaries(spark, sf_dir), "daily"))
+    filtered, tapes = _filtered(spark, sf_dir), tables.tapes(spark, sf_dir)
+    found = segment.boundaries(filtered)
+    return label.same_date_neighbours(label.labelled(label.clip_bounds(segment.group_cuts(found, tapes, "session"), tapes), filtered, found, "daily"))
 
 
 # --- refinement ---
@@ -364,10 +384,10 @@ def _eval_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.clip_starts(c.select("tape_id", "clip_no", F.col("file_name").alias("name"), (F.col("end_t") - F.col("start_t")).alias("duration_s")))
 
 
-def _eval_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _eval_readings(spark: SparkSession, sf_dir: str, zones: DataFrame) -> DataFrame:
     """Readings around each zone, as if sampled: each second of the ten before and five behind it, its key off by up to two seconds."""
     c = F.col("coarse_t").cast("int")
-    t = _zones(spark, sf_dir).select("tape_id", (c + c % 3).alias("coarse"), F.explode(F.sequence(c - 10, c + 5)).alias("t"))
+    t = zones.select("tape_id", (c + c % 3).alias("coarse"), F.explode(F.sequence(c - 10, c + 5)).alias("t"))
     r = tables.readings(spark, sf_dir).select("tape_id", "t", parse.eval_date(F.col("raw")).alias("dt"))
     return t.join(r, ["tape_id", "t"])
 
@@ -384,9 +404,19 @@ def clip_start_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.results(_zones(spark, sf_dir), _eval_clips(spark, sf_dir), _eval_readings(spark, sf_dir))
+    zones = shared.written(_zones(spark, sf_dir), "zones")
+    return evaluate.results(zones, _eval_clips(spark, sf_dir), _eval_readings(spark, sf_dir, zones))
 
 
 @_query
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(eval_results(spark, sf_dir))
+
+
+@_query
+def sink_eval_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluator results through their JSON documents: each tape's summary, and how many boundaries its document lists."""
+    path = shared.fresh_path(spark, "evaluation")
+    caches.write_results(eval_results(spark, sf_dir), path)
+    back = spark.read.schema("boundaries ARRAY<STRUCT<boundary_idx: INT, coarse_t: DOUBLE>>, summary STRUCT<count: BIGINT, pipeline_median_error_s: DOUBLE, coarse_median_error_s: DOUBLE>, tape_id STRING").json(path)
+    return back.select("tape_id", F.size("boundaries").cast("bigint").alias("listed"), F.element_at("boundaries", 1)["boundary_idx"].alias("first_idx"), F.element_at("boundaries", -1)["coarse_t"].alias("last_t"), "summary.*")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new folder below the one that the cluster names; a temporary one only where none is set."""
+    """A new folder below the one that the cluster names; a temporary one only for a local master that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
