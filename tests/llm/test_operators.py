@@ -224,6 +224,38 @@ def test_language_of_few_labels_among_many_rows(spark):
     assert langid.keep_identified(labelled, net).count() == len(rows)
 
 
+def test_language_network(spark):
+    """Folded inference equals a direct convolution, gradients equal differences, and numerals are no letters."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    config = langid.Config(window=12, widths=(2, 3), filters=3, embedding=2)
+    net = langid.Network(config, ["aa", "bb", "cc"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net._fold()
+    x, y = rng.integers(97, 104, (7, 12)).astype(np.uint8), rng.integers(0, 3, 7)
+    direct = []
+    for row in x:
+        emb, pooled = net.p["emb"][row], []
+        for w in config.widths:
+            z = np.array([emb[i : i + w].ravel() @ net.p[f"w{w}"] + net.p[f"b{w}"] for i in range(12 - w + 1)])
+            pooled.append(np.maximum(z.max(axis=0), 0))
+        z = np.concatenate(pooled) @ net.p["out"] + net.p["bias"]
+        direct.append(np.exp(z) / np.exp(z).sum())
+    assert np.allclose(net.probabilities(x), direct)
+    g, _ = net.gradients(x, y)
+    for name, at in (("out", (1, 2)), ("bias", (0,)), ("w2", (1, 0)), ("b3", (2,)), ("emb", (int(x[0, 3]), 1))):
+        losses = []
+        for step in (1e-5, -1e-5):
+            net.p[name][at] += step
+            losses.append(net.gradients(x, y)[1])
+            net.p[name][at] -= step
+        assert abs((losses[0] - losses[1]) / 2e-5 - g[name][at]) < 1e-4
+    assert net.predict(pa.array(["² ½ ①", None, "12", "ñ", "ª"]))[0][:3] == ["und"] * 3
+    assert all(p != "und" for p in net.predict(pa.array(["ñ", "x²"]))[0])
+
+
 # --- licences ---
 
 

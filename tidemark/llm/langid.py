@@ -17,12 +17,12 @@ first; repeated rows give repeated results; with no usable labelled row everythi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +32,8 @@ UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 _FOLD[[*range(0x20)]] = 0x20
-#: Any letter: a word character that is neither a digit nor the underscore.
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode's letters; numerals such as a superscript two are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
