@@ -150,7 +150,7 @@ def test_toxicity(spark, docs, empty):
             words[5:8] = [rng.choice(bad) for _ in range(3)]
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(toxic)))
-    df = spark.createDataFrame([*rows, (9001, "the river 1d10t and m0r0n"), (9002, "of stone i d i o t s t u p i d"), (9003, None), (9004, "")], "doc_id long, text string")
+    df = spark.createDataFrame([*rows, (9001, "the river 1d10t and m0r0n"), (9002, "of stone i d i o t s t u p i d"), (9003, None), (9004, ""), (9005, " ".join("the other cloud of total idiot river walking mountain stone".replace(" ", ""))), (9006, "the river iiddiioott and mmoorroonn"), (9007, "of " + "idiot-" * 12 + "x"), (9008, "x y z 1 2 3 a b c, the total 1990 of 5417 letters")], "doc_id long, text string")
     own = spark.createDataFrame([*labels, (9003, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(df, own)
     found = {r.doc_id: r for r in toxicity.score(df, model, restored=True).collect()}
@@ -158,6 +158,11 @@ def test_toxicity(spark, docs, empty):
     assert all(found[i].predicted == int(i % 3 == 0) for i in held)
     assert found[9001].predicted == 1 and found[9001].restored == "the river idiot and moron"
     assert found[9002].predicted == 1 and found[9003].predicted == 0 and found[9004].predicted == 0
+    assert found[9005].predicted == found[9006].predicted == found[9007].predicted == 1 and found[9008].predicted == 0
+    assert found[9005].restored.replace(" ", "") == "theothercloudoftotalidiotriverwalkingmountainstone" and "1990 of 5417" in found[9008].restored
+    disguised = {i: rng.choice([lambda w: w.translate(str.maketrans("ioset", "1053+")), lambda w: "".join(c * 2 for c in w), " ".join, lambda w: w[0] + w[1:].replace(w[1], w[1] * 4)]) for i in held if i % 3 == 0}
+    again = spark.createDataFrame([(i, " ".join(f(w) if w in bad else w for w in rows[i][1].split())) for i, f in disguised.items()], "doc_id long, text string")
+    assert sum(r.predicted for r in toxicity.score(again, model).collect()) >= 0.95 * len(disguised) > 10
     assert all(0 <= r.score <= 1 for r in found.values())
     again = toxicity.score(df, toxicity.train(df, own.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))))
     assert {r.doc_id: r.score for r in again.collect()} == {i: r.score for i, r in found.items()}  # held-out labels teach nothing
@@ -166,6 +171,39 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.train(empty, own)).count() == 0
 
 
+def test_viterbi_finds_the_cheapest_of_all_paths():
+    import itertools
+
+    import pyarrow as pa
+
+    decoder = toxicity.Decoder(toxicity.trigram_counts(pa.array(["the idiot of the stone", "walking other mountains"] * 5)), toxicity.Config())
+    A = toxicity._A
+
+    def cost(pieces):
+        a = b = 0
+        total = 0.0
+        for letters, extra in pieces:
+            total += extra
+            for ch in letters:
+                if ch == " ":
+                    if b == 0:
+                        return float("inf")
+                    z = 0
+                else:
+                    z = toxicity._CODE.get(ch, A - 1)
+                total += float(decoder.cost[a, b, z])
+                a, b = b, z
+        return total + (float(decoder.cost[a, b, 0]) if b else 0.0)
+
+    rng = random.Random(10)
+    for _ in range(300):
+        token = "".join(rng.choice("ththeiidot10@$3. -x漢") for _ in range(rng.randint(1, 7)))
+        paths = [(cost(p), "".join(x for x, _ in p).strip(" ")) for p in itertools.product(*decoder._choices(token))]
+        found = decoder.restore(token)
+        assert abs(min(paths)[0] - min(c for c, t in paths if t == found)) < 1e-5
+    assert len(decoder.restore("ab1@" * 30_000)) > 30_000 and decoder.restore(" ".join("idiot" * 5000)).replace(" ", "") == "idiot" * 5000
+
+
 # --- byte-level BPE ---
 
 
