@@ -63,15 +63,20 @@ def _brute_repetition(text, rules=repetition.Rules()):
             earlier.add(line)
     repeat = len(covered(3))
     failed = len(w) < 50 or 100 * repeat > 50 * len(w)
-    window = max(sum(len(w[k]) for k in covered(n)) / max(1, chars) for n in rules.windows)
-    kept = not failed and window <= 0.5 and dup_chars / max(1, chars) <= 0.5
+    within = all(sum(len(w[k]) for k in covered(n)) / max(1, chars) <= most for n, most in rules.windows)
+    kept = not failed and within and dup_chars / max(1, chars) <= 0.2
     return len(w), chars, sum(c in "#*$%&|<>" for c in text or ""), dup, repeat, failed, kept
 
 
 def test_repetition(spark, docs, empty):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["ab", "ç", "d#", "ee\n", "f|", "gg", "h", "i\ni", "漢"]) for _ in range(rng.randint(0, 140))) for _ in range(150)]
+    # A passage that stands twice, within the base rule and yet rejected; and one that is short enough.
+    own = [f"w{k}" for k in range(100)]
+    texts += [" ".join([*own, "x", *own[20 : 20 + n]]) for n in (0, 4, 20, 30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    verdicts = {r.doc_id: (r.base_failed, r.kept) for r in repetition.measure(df).collect()}
+    assert [verdicts[150 + k] for k in range(4)] == [(False, True), (False, True), (False, False), (False, False)]
     for r in repetition.measure(df).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == _brute_repetition(texts[r.doc_id])
     found = repetition.measure(docs).collect()

@@ -17,7 +17,7 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op1_sql(rules: repetition.Rules = repetition.Rules()) -> str:
     """Windows by their whole texts instead of hashes; a word is covered if one of the last windows begun is repeated."""
-    lengths = sorted({rules.repeat_window, *rules.windows})
+    lengths = sorted({rules.repeat_window, *(k for k, _ in rules.windows)})
     text = lambda k: " || ' ' || ".join(["t", *(f"lead(t, {j}) OVER w" for j in range(1, k))])
     parts = ", ".join(
         f"""w{k} AS (SELECT rid, i, len(t) AS chars, CAST(g IS NOT NULL AND count(*) OVER (PARTITION BY rid, g) > 1 AS INT) AS again FROM (SELECT *, {text(k)} AS g FROM tok WINDOW w AS (PARTITION BY rid ORDER BY i))),
@@ -25,7 +25,9 @@ c{k} AS (SELECT rid, count(*) AS n, sum(chars) AS chars FROM (SELECT *, max(agai
         for k in lengths
     )
     joins = " ".join(f"LEFT JOIN c{k} USING (rid)" for k in lengths)
-    share = "greatest(" + ", ".join(f"coalesce(c{k}.chars, 0) / greatest(word_chars, 1)" for k in rules.windows) + ")"
+    shares = ", ".join(f"coalesce(c{k}.chars, 0) / greatest(word_chars, 1) AS share_{k}" for k, _ in rules.windows)
+    named = ", ".join(f"CAST(share_{k} AS DOUBLE) AS share_{k}" for k, _ in rules.windows)
+    within = " AND ".join(f"share_{k} <= {most}" for k, most in rules.windows)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT rid, line, row_number() OVER (PARTITION BY rid, line) AS k FROM d, unnest(string_split(text, chr(10))) AS g(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
@@ -33,11 +35,11 @@ tok AS (SELECT rid, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
 dup AS (SELECT rid, count(*) AS n, sum(len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM l WHERE k > 1 GROUP BY rid),
 {parts},
 m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-  coalesce(dup.n, 0) AS n_dup_lines, coalesce(c{rules.repeat_window}.n, 0) AS n_repeat_words, {share} AS window_share, coalesce(dup.chars, 0) / greatest(word_chars, 1) AS line_share
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(c{rules.repeat_window}.n, 0) AS n_repeat_words, {shares}, coalesce(dup.chars, 0) / greatest(word_chars, 1) AS line_share
   FROM d LEFT JOIN dup USING (rid) {joins}),
 f AS (SELECT *, n_words < {rules.least_words} OR 100 * n_repeat_words > {rules.most_repeat_percent} * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  CAST(window_share AS DOUBLE) AS window_share, CAST(line_share AS DOUBLE) AS line_share, base_failed, NOT base_failed AND window_share <= {rules.most_window_share} AND line_share <= {rules.most_line_share} AS kept FROM f
+  {named}, CAST(line_share AS DOUBLE) AS line_share, base_failed, NOT base_failed AND {within} AND line_share <= {rules.most_line_share} AS kept FROM f
 """
 
 

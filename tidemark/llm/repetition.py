@@ -31,14 +31,17 @@ _P, _Q = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the verdict: the base rule's, then the largest shares of characters in repeated windows and lines."""
+    """Limits of the verdict: the base rule's, then the largest shares of characters in repeated windows and lines.
+
+    Fixed values: the shares are those of Rae et al. 2021, falling with the window's length, so that a document within the
+    base rule is rejected for longer repeated passages.
+    """
 
     least_words: int = 50
     repeat_window: int = 3
     most_repeat_percent: int = 50
-    windows: tuple[int, ...] = (5, 7, 10)
-    most_window_share: float = 0.5
-    most_line_share: float = 0.5
+    windows: tuple[tuple[int, float], ...] = ((5, 0.15), (7, 0.13), (10, 0.10))
+    most_line_share: float = 0.2
 
 
 _known: dict[int, np.ndarray] = {}
@@ -105,7 +108,7 @@ class Measures:
         words = _hash(values, start, end, _P)
         del values
         self.covered = {}
-        for k in sorted({rules.repeat_window, *rules.windows}):
+        for k in sorted({rules.repeat_window, *(k for k, _ in rules.windows)}):
             at = np.arange(max(0, len(words) - k + 1))
             at = at[text[at] == text[at + k - 1]]
             again = at[_twice(_with_text(_hash(words, at, at + k, _Q), text[at]))]
@@ -144,22 +147,25 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, window_share, line_share, base_failed, kept).
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, share_<length>…, line_share).
 
-    window_share: the largest coverage of the rules' window lengths. Other columns of docs are ignored.
+    share_<length>: coverage by repeated windows of that many words. Other columns of docs are ignored.
     """
-    names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "window_share", "line_share", "base_failed", "kept"]
+    names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(f"share_{k}" for k, _ in rules.windows), "line_share"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in portions(b, "text", 2_000_000)):
             m = Measures(batch.column(1), rules)
             repeat = m.covered[rules.repeat_window][0]
             failed = (m.n_words < rules.least_words) | (100 * repeat > rules.most_repeat_percent * m.n_words)
-            window = np.max([_share(m.covered[k][1], m.word_chars) for k in rules.windows], axis=0)
+            shares = [_share(m.covered[k][1], m.word_chars) for k, _ in rules.windows]
             line = _share(m.dup_line_chars, m.word_chars)
-            kept = ~failed & (window <= rules.most_window_share) & (line <= rules.most_line_share)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, repeat, window, line, failed, kept))], names=names)
+            kept = ~failed & (line <= rules.most_line_share)
+            for share, (_, most) in zip(shares, rules.windows):
+                kept &= share <= most
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, repeat, failed, kept, *shares, line))], names=names)
 
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {dict(ids.dtypes)['id']}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, window_share double, line_share double, base_failed boolean, kept boolean"
+    kinds = ["bigint"] * 5 + ["boolean"] * 2 + ["double"] * (len(rules.windows) + 1)
+    schema = f"id {dict(ids.dtypes)['id']}, " + ", ".join(f"{n} {k}" for n, k in zip(names[1:], kinds))
     return ids.mapInArrow(run, schema).withColumnRenamed("id", id_col)
