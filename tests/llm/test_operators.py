@@ -556,3 +556,22 @@ def test_pipeline(spark, tmp_path):
     hit = {i for i, t in texts.items() if any(tuple(_words(t)[k : k + 10]) in windows for k in range(len(_words(t)) - 9))}
     component = _brute_components({i: _brute_fingerprint(t) for i, t in texts.items()})
     assert {r.doc_id for r in rows} == {i for i in texts if component[i] == i and i not in hit}
+
+
+def test_pipeline_stages_on_edge_cases(spark, docs, empty):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables in every stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = docs.drop("n", "id", "text_crc32").withColumn("__clash", F.lit("x"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name
+        got = stage(spark, odd, sf)
+        kept[name] = got.count()
+        if name != "encoding":
+            assert got.columns == odd.columns and dict(got.dtypes) == dict(odd.dtypes), name
+    assert kept["personal_data"] == kept["decontamination"] == kept["encoding"] == len(TEXTS) + 2
+    assert 0 < kept["near_dedup"] < len(TEXTS) + 2
+    without = corpus_pipeline.language(spark, odd.withColumn("lang", F.lit(None).cast("string")), sf)
+    assert without.count() == 0
