@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import tiktoken
 import xxhash
@@ -269,7 +271,6 @@ def test_language_of_few_labels_among_many_rows(spark):
 
 def test_language_network(spark):
     """Folded inference equals a direct convolution, gradients equal differences, and numerals are no letters."""
-    import numpy as np
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
@@ -418,6 +419,86 @@ def test_simhash_chain_and_edges(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def _brute_similar(texts: dict, least: float = 0.8) -> dict:
+    """The smallest id that each text reaches over pairs of at least `least` by their sets of five words."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if (x == y or len(x & y) >= least * len(x | y)) and root(a) != root(b):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in texts}
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_rows": 40}])
+def test_keep_one_by_similarity(spark, options):
+    """A group of copies above the size of pairwise comparison, pairs on both sides of 0.8, chains, empty and short texts."""
+    rng = random.Random(11)
+
+    def text(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    texts = []
+    hot = text(400)
+    for _ in range(150):
+        x = list(hot)
+        x[rng.randrange(400)] = f"n{rng.randrange(10**6)}"
+        texts.append(x)
+    for _ in range(40):
+        x = text(300)
+        texts.append(x)
+        for _ in range(2):
+            x = list(x)
+            for k in rng.sample(range(300), rng.choice([1, 3, 6, 20, 60])):
+                x[k] = "CHANGED"
+            texts.append(x)
+    texts = [" ".join(x) for x in texts] + [None, "", "ab", "AB", "a b c d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = _brute_similar(dict(enumerate(texts)))
+    kept = {r.doc_id for r in simhash.keep_one(df, **options).collect()}
+    # Blocks are sampled, so a pair near 0.8 may share none: nothing goes that should stay, and most that should go goes.
+    assert kept >= set(want.values())
+    goes, wanted = len(texts) - len(kept), len(texts) - len(set(want.values()))
+    assert goes >= 0.95 * wanted, (goes, wanted)
+
+
+def test_forest_is_the_closest_links():
+    """Against all pairs: links that connect what pairs within the distance connect, in small and large groups alike."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, (40, 4), dtype=np.uint64)
+    fp = base[rng.integers(0, 40, 400)]
+    fp[:, 0] ^= (np.uint64(1) << rng.integers(0, 40, 400).astype(np.uint64)) | (np.uint64(1) << rng.integers(0, 40, 400).astype(np.uint64))
+    group = np.sort(rng.choice([1, 1, 1, 2, 3, 4], 400))
+    for small in (64, 1, 400):
+        a, b, d = simhash._forest(fp, group, 3, small)
+        assert (group[a] == group[b]).all() and (simhash._bits(fp[a], fp[b]) == d).all() and (d <= 3).all()
+        parent = list(range(400))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        def joined(pairs):
+            parent[:] = range(400)
+            for x, y in pairs:
+                parent[max(root(x), root(y))] = min(root(x), root(y))
+            return [root(x) for x in range(400)]
+
+        every = [(i, j) for i in range(400) for j in range(i) if group[i] == group[j] and simhash._bits(fp[i], fp[j]) <= 3]
+        assert joined(zip(a.tolist(), b.tolist())) == joined(every)
+    assert all(len(x) == 0 for x in simhash._forest(fp[:0], group[:0], 3))
+
+
 def test_keep_one_of_repeated_and_null_ids(spark):
     one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
     rows = [(1, one), (1, two), (1, two), (2, one), (None, three), (None, three), (None, two), (3, None), (None, None)]
@@ -554,7 +635,7 @@ def test_pipeline(spark, tmp_path):
         w = _words(r.text)
         windows |= {tuple(w[k : k + 10]) for k in range(len(w) - 9)}
     hit = {i for i, t in texts.items() if any(tuple(_words(t)[k : k + 10]) in windows for k in range(len(_words(t)) - 9))}
-    component = _brute_components({i: _brute_fingerprint(t) for i, t in texts.items()})
+    component = _brute_similar(texts)
     assert {r.doc_id for r in rows} == {i for i in texts if component[i] == i and i not in hit}
 
 

@@ -9,6 +9,10 @@ Equal fingerprints are collapsed before the join, a bucket's links leave its tas
 pairs), and a bucket of more than `bucket_rows` fingerprints is dealt out as pairs of chunks, so no task
 holds an unbounded bucket and no link is lost.
 
+`similar` and `keep_one` take five-word shingles and a similarity of 0.8, where pairs differ in some 15 % of their bits.
+No cut of 64 bits into whole blocks shares one then, so their fingerprints have 256 bits and their blocks are sampled
+from these, many of them; candidates by Hamming distance that could be either are decided by their shingles.
+
 Defined results: null text and texts without words have fingerprint 0, which links like any other; repeated
 rows share their component; a null id never names a component unless all of its ids are null; an empty table
 gives no rows; other columns are ignored.
@@ -22,35 +26,55 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
 
 SEED = 42
+#: Bits of a wide fingerprint.
+WIDE = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """SimHash of the XXH64 of a text's word shingles; a bit is 1 if over half of the hashes have it."""
+def _shingles(text: bytes, shingle: int) -> list[bytes]:
+    """A text's word shingles, A-Z lower-cased, repeats included; the whole sequence if it has fewer words."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return []
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends.tolist()]
     last = (ends - 1).tolist()[min(shingle, len(words)) - 1 :]
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in zip(starts, last)]), np.uint8).reshape(n, 8)
-    counts = np.zeros(64, np.int64)
-    for low in range(0, n, 255 * 256):
-        bits = np.unpackbits(hashes[low : low + 255 * 256], axis=1)
+    return [line[a:b] for a, b in zip(starts, last)]
+
+
+def _majority(digests: bytes, n: int) -> bytes:
+    """Of n hashes of equal width, the bits that over half of them have."""
+    hashes = np.frombuffer(digests, np.uint8).reshape(n, -1)
+    wide = 8 * hashes.shape[1]
+    counts = np.zeros(wide, np.int64)
+    for low in range(0, n, 255 * 64):
+        bits = np.unpackbits(hashes[low : low + 255 * 64], axis=1)
         whole = len(bits) // 255 * 255
         if whole:
-            counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+            counts += bits[:whole].reshape(-1, 255, wide).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         counts += bits[whole:].sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return np.packbits(2 * counts > n).tobytes()
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """SimHash of the XXH64 of a text's word shingles; a bit is 1 if over half of the hashes have it."""
+    found = _shingles(text, shingle)
+    digest = xxhash.xxh64_digest
+    return int.from_bytes(_majority(b"".join([digest(x, SEED) for x in found]), len(found)), "big") if found else 0
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
+    """SimHash of WIDE bits, from two 128-bit hashes of each word shingle; zero without a word."""
+    found = _shingles(text, shingle)
+    digest = xxhash.xxh3_128_digest
+    return _majority(b"".join([digest(x, s) for x in found for s in (SEED, SEED + 1)]), len(found)) if found else bytes(WIDE // 8)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -172,24 +196,191 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, fp): fp is the wide fingerprint, a binary."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = [wide_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], names=[id_col, "fp"])
+
+    ids = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return ids.mapInArrow(run, f"`{id_col}` {dict(ids.dtypes)[id_col]}, fp binary")
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> DataFrame:
+    """(id, shingles): the distinct 64-bit hashes of a text's word shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1)):
+                found = {xxhash.xxh3_64_intdigest(x, SEED) for x in _shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)}
+                hashes = np.fromiter(found, np.uint64, len(found)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], b.column(0).type), pa.array([hashes], pa.list_(pa.int64()))], names=[id_col, "shingles"])
+
+    ids = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return ids.mapInArrow(run, f"`{id_col}` {dict(ids.dtypes)[id_col]}, shingles array<bigint>")
+
+
+def sampled_keys(fp: np.ndarray, keys: int, key_bits: int) -> np.ndarray:
+    """(n, keys): the values of `keys` blocks of `key_bits` bits each, drawn once for all data from a fingerprint's bits (n, WIDE)."""
+    draw = np.random.default_rng(SEED)
+    weight = 1 << np.arange(key_bits, dtype=np.int64)
+    return np.stack([(fp[:, draw.choice(WIDE, key_bits, replace=False)] @ weight) + (k << 32) for k in range(keys)], axis=1)
+
+
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of differing bits of wide fingerprints."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _shortest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) of d bits make the spanning forest of the closest pairs."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    used = []
+    for k in np.argsort(d, kind="stable").tolist():
+        x, y = root(int(a[k])), root(int(b[k]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            used.append(k)
+    return np.array(used, np.int64)
+
+
+def _forest(fp: np.ndarray, group: np.ndarray, distance: int, small: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, bits): links of at most `distance` bits that span what such links connect within each group of equal, adjacent `group`.
+
+    Groups of up to `small` rows are compared pair by pair, all at once, and keep their closest links. A larger one is
+    searched breadth first: a row is compared only with rows that no part has reached yet, so a group of copies costs
+    its length and not its square.
+    """
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
+    sizes = np.diff(edges)
+    at = np.flatnonzero(np.repeat(sizes <= small, sizes))
+    found = [[np.zeros(0, np.int64)] for _ in range(3)]
+    step = 1
+    while len(at):
+        at = at[at + step < len(fp)]
+        at = at[group[at] == group[at + step]]
+        d = _bits(fp[at], fp[at + step])
+        for x, y in zip(found, (at[d <= distance], at[d <= distance] + step, d[d <= distance])):
+            x.append(y)
+        step += 1
+    a, b, d = map(np.concatenate, found)
+    used = _shortest(a, b, d)
+    found = [[a[used]], [b[used]], [d[used]]]
+    for k in np.flatnonzero(sizes > small):
+        rest = np.arange(edges[k], edges[k + 1])
+        while len(rest):
+            queue, rest = [int(rest[0])], rest[1:]
+            while queue and len(rest):
+                at = queue.pop(0)
+                d = _bits(fp[rest], fp[at])
+                near = d <= distance
+                for x, y in zip(found, (np.full(near.sum(), at), rest[near], d[near])):
+                    x.append(y)
+                queue += rest[near][np.argsort(d[near], kind="stable")].tolist()
+                rest = rest[~near]
+    return tuple(map(np.concatenate, found))
+
+
+def wide_links(distinct: DataFrame, distance: int, keys: int, key_bits: int, bucket_rows: int) -> DataFrame:
+    """(a, b, bits), a > b: links between the rows (node, fp) of distinct that share a sampled block and differ in at most `distance` bits."""
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1).astype(np.int64)
+                key = sampled_keys(bits, keys, key_bits)
+                again = np.repeat(np.arange(part.num_rows), keys)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(pa.array(again)), part.column(1).take(pa.array(again))], names=["key", "node", "fp"])
+
+    keyed = distinct.select("node", "fp").mapInArrow(blocks, "key bigint, node bigint, fp binary")
+    # A bucket of c chunks: a row of chunk x goes to each pair of chunks that has x. Most buckets are one chunk.
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
+    c = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(bucket_rows)).cast("int")
+    dealt = (
+        keyed.join(hot, "key", "left")
+        .withColumn("c", c)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "fp")
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, node, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE // 64), np.uint64)
+
+        def found(upto: int) -> pa.RecordBatch:
+            a, b, d = _forest(fp[:upto], g[:upto], distance)
+            a, b = node[:upto][a], node[:upto][b]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.maximum(a, b), np.minimum(a, b), d)], names=["a", "b", "bits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = np.concatenate([g, batch.column(0).to_numpy(zero_copy_only=False)])
+            node = np.concatenate([node, batch.column(1).to_numpy(zero_copy_only=False)])
+            fp = np.concatenate([fp, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE // 64)])
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
+            yield found(cut)
+            g, node, fp = g[cut:], node[cut:], fp[cut:]
+        yield found(len(g))
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint, bits bigint").distinct()
+
+
+def _classes(first: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(fp, component) of first (fp, first, node column): the smallest first of all that roots (node, root) put together."""
+    rooted = first.join(roots.withColumnRenamed("node", "member"), F.col(node) == F.col("member"), "left").select("fp", "first", F.coalesce("root", node).alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    return materialise(rooted.join(least, "root").select("fp", "component"), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, blocks: int = 5, bucket_rows: int = 4096) -> DataFrame:
     """(id, fp, component): component is the smallest id of the documents that links reach, its own included."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
     roots = components(links(first.select("fp"), distance, blocks, bucket_rows))
-    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    class_of = materialise(rooted.join(least, "root").select("fp", "component"), "classes")
-    return prints.join(class_of, "fp").select(id_col, "fp", "component")
+    return prints.join(_classes(first, roots, "fp"), "fp").select(id_col, "fp", "component")
+
+
+def similar(rows: DataFrame, row_col: str, key: Column, text_col: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 56, certain: int = 24, keys: int = 64, key_bits: int = 18, bucket_rows: int = 4096) -> DataFrame:
+    """(fp, component), one row for each distinct wide fingerprint: the smallest key of its class.
+
+    Classes are closed over links between texts whose sets of `shingle` words have a Jaccard similarity of at least
+    `least`; row_col is a unique bigint. Of two texts of similarity j a bit differs with probability
+    acos(2 j / (1 + j)) / pi: 38.8 of 256 bits at 0.8, with a deviation of 5.7. So pairs of at most `certain` bits are
+    links, those of up to `distance` are candidates, and the candidates' shingles decide. A pair shares one of
+    64 blocks of 18 sampled bits with a probability of 0.97 at 0.8, and of over 0.99 from 0.85 on.
+    """
+    prints = wide_fingerprints(rows.select(F.struct(key.alias("key"), F.col(row_col).alias("row")).alias("id"), text_col), "id", text_col, shingle)
+    first = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")).select("fp", F.col("first.key").alias("first"), F.col("first.row").alias("node")), "fingerprints")
+    found = materialise(wide_links(first, distance, keys, key_bits, bucket_rows), "links")
+    unsure = found.where(F.col("bits") > certain)
+    asked = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialise(shingle_sets(rows.select(F.col(row_col).alias("node"), text_col).join(asked, "node", "left_semi"), "node", text_col, shingle), "shingles")
+    pairs = unsure.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    linked = pairs.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return _classes(first, components(found.where(F.col("bits") <= certain).select("a", "b").union(linked)), "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each near-duplicate component: one of the smallest id, null ids last.
+    """docs with one row of each class of `similar`: one of the smallest id, null ids last.
 
-    Rows are told apart by a number written with them, so ids may repeat or be null.
+    Rows are told apart by a number written with them, so ids may repeat or be null. Texts without words are one class.
     """
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    found = near_duplicates(rows.select(key.alias("__key"), text_col), "__key", text_col, **options)
-    kept = found.where(F.col("__key") == F.col("component")).select(F.col("__key.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = "__row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    kept = similar(rows, row, key, text_col, **options).select(F.col("component.row").alias(row)).distinct()
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
