@@ -304,7 +304,8 @@ def wide_links(distinct: DataFrame, distance: int, keys: int, key_bits: int, buc
 
     keyed = distinct.select("node", "fp").mapInArrow(blocks, "key bigint, node bigint, fp binary")
     # A bucket of c chunks: a row of chunk x goes to each pair of chunks that has x. Most buckets are one chunk.
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
+    # Written, so that the planner knows its size, and broadcasts it only if small.
+    hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows), "hot")
     c = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(bucket_rows)).cast("int")
     dealt = (
         keyed.join(hot, "key", "left")
@@ -364,7 +365,7 @@ def similar(rows: DataFrame, row_col: str, key: Column, text_col: str = "text",
     first = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")).select("fp", F.col("first.key").alias("first"), F.col("first.row").alias("node")), "fingerprints")
     found = materialise(wide_links(first, distance, keys, key_bits, bucket_rows), "links")
     unsure = found.where(F.col("bits") > certain)
-    asked = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = materialise(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
     sets = materialise(shingle_sets(rows.select(F.col(row_col).alias("node"), text_col).join(asked, "node", "left_semi"), "node", text_col, shingle), "shingles")
     pairs = unsure.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
