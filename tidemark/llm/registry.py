@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, licenses, pii, repetition, sharding, simhash, toxicity, warc
+from tidemark.llm import bpe, decontam, langid, licenses, pii, repetition, runs, sharding, simhash, toxicity, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -199,6 +199,11 @@ FROM m
 """
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), repeat_tails=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op2_pii": op2_pii,
@@ -210,6 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_runs": op11_runs,
 }
 
 SQL: dict[str, str] = {
