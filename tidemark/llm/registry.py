@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, licenses, pii, repetition, runs, sharding, simhash, toxicity, warc
+from tidemark.llm import bpe, decontam, langid, licenses, mixing, pii, repetition, runs, sharding, simhash, toxicity, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -204,6 +204,24 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+#: Shares by filling up in the order of size over weight; what a document gives by its place in its source's stream.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, CAST(sum(w) OVER r AS BIGINT) AS rest, (SELECT CAST(sum(source_size) AS BIGINT) FROM s) - CAST(coalesce(sum(3 * source_size) OVER b, 0) AS BIGINT) AS share
+  FROM s WINDOW r AS (ORDER BY 3 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b AS (ORDER BY 3 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, 3 * source_size * rest <= w * share AS capped FROM o),
+f AS (SELECT coalesce(max(share) FILTER (NOT capped AND rest = top), 0) AS share, coalesce(max(top), 1) AS weight FROM c, (SELECT max(rest) FILTER (NOT capped) AS top FROM c)),
+t AS (SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE w * f.share / f.weight END AS target, CASE WHEN capped THEN 3 * source_size ELSE w * f.share // f.weight END AS words FROM c, f),
+p AS (SELECT d.doc_id, size, source_size, target, words, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (words // source_size) + greatest(0, least(size, words % source_size - start)) END AS BIGINT) AS taken FROM p
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op2_pii": op2_pii,
@@ -216,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
     "op11_runs": op11_runs,
+    "op12_mixing": op12_mixing,
 }
 
 SQL: dict[str, str] = {
@@ -224,4 +243,5 @@ SQL: dict[str, str] = {
     "op6_licenses": _op6_sql(),
     "op7_decontamination": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op12_mixing": OP12_SQL,
 }
