@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, licenses, mixing, pii, repetition, runs, sharding, simhash, toxicity, warc
+from tidemark.llm import bpe, decontam, langid, licenses, mixing, pii, repair, repetition, runs, sharding, simhash, toxicity, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -222,6 +222,10 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0
 """
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summary(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op2_pii": op2_pii,
@@ -235,6 +239,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_runs": op11_runs,
     "op12_mixing": op12_mixing,
+    "op13_conversations": op13_conversations,
 }
 
 SQL: dict[str, str] = {
