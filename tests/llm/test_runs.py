@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import runs
+from tidemark.llm.common import words_of
 
 LONG = "lorem ipsum dolor " * 20_000
 
@@ -77,7 +78,7 @@ def test_runs_equal_brute_force_on_words():
     rng = random.Random(3)
     for _ in range(40):
         texts = list(_texts(rng, 25))
-        data, start, end, number, edges = runs.words_of(pa.array(texts))
+        data, start, end, number, edges = words_of(pa.array(texts))
         assert [data[a:b].tobytes().decode() for a, b in zip(start, end)] == [x for t in texts for x in t.split()]
         size = np.diff(edges)
         first = edges[:-1] + np.arange(len(size))

@@ -1,13 +1,13 @@
 """Quality rules by repetition coverage: rolling hashes of several n-gram lengths in numpy.
 
-Texts of a batch are laid end to end as bytes and cut into words `[^\\x20\\x09-\\x0D]+`. Prefix sums give every word,
-every n-word window and every line a 64-bit hash; windows whose hash occurs twice within a text are repeated, and
-the code points of the words that they cover, over those of all words, are that length's coverage. The same holds
-for the characters in lines that equal an earlier line.
+Texts of a batch are laid end to end as bytes and cut into words `[^\\x20\\x09-\\x0D]+`, which are numbered by their bytes.
+Prefix sums give every n-word window and every line a 64-bit hash; what has the hash of an earlier one of its text is
+compared with that one, word by word or byte by byte. Windows that occur twice within a text are repeated, and the code
+points of the words that they cover, over those of all words, are that length's coverage. The same holds for the
+characters in lines that equal an earlier line.
 
 Defined results: null and word-free texts have zeros, fail the base rule and have coverage 0; repeated rows give
-repeated results; an empty table gives no rows. Two different windows of a text are taken as equal only where two
-64-bit hashes collide.
+repeated results; an empty table gives no rows. Hashes decide what is compared, never what is equal.
 """
 
 from __future__ import annotations
@@ -20,10 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import portions, utf8
+from tidemark.llm.common import portions, utf8, words_of
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _P, _Q = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -69,14 +67,52 @@ def _with_text(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     return h ^ ((text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _twice(h: np.ndarray) -> np.ndarray:
-    """Whether each value occurs more than once."""
-    order = np.argsort(h)
+def _same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 4_000_000) -> np.ndarray:
+    """Whether the pieces a and b of data[start:end] have the same bytes, some millions of bytes at a time."""
+    size = end[a] - start[a]
+    same = size == end[b] - start[b]
+    at = np.flatnonzero(same & (size > 0))
+    cuts = np.concatenate([[0], np.cumsum(size[at])])
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(cuts, cuts[low] + most, side="right")) - 1)
+        own = at[low:high]
+        if len(own) == 1:
+            same[own[0]] = np.array_equal(data[start[a[own[0]]] : end[a[own[0]]]], data[start[b[own[0]]] : end[b[own[0]]]])
+        else:
+            k = np.arange(cuts[high] - cuts[low])
+            step = np.repeat(cuts[low:high] - cuts[low], size[own])
+            equal = data[k + np.repeat(start[a[own]], size[own]) - step] == data[k + np.repeat(start[b[own]], size[own]) - step]
+            same[own] = np.logical_and.reduceat(equal, cuts[low:high] - cuts[low])
+        low = high
+    return same
+
+
+def earlier(h: np.ndarray, same, content) -> np.ndarray:
+    """For each of some pieces, the first one equal to it; h: their hashes, same(a, b): whether pieces are equal, content(a): what tells them apart.
+
+    Pieces are compared with the first of their hash. Where one differs from it, its hash's pieces are told apart by content.
+    """
+    order = np.argsort(h, kind="stable")
     s = h[order]
-    same = s[1:] == s[:-1]
-    found = np.zeros(len(h), bool)
-    found[order[1:][same]] = True
-    found[order[:-1][same]] = True
+    new = np.ones(len(h), bool)
+    new[1:] = s[1:] != s[:-1]
+    begin = np.flatnonzero(new)
+    first = np.empty(len(h), np.int64)
+    first[order] = order[begin][np.cumsum(new) - 1]
+    asked = np.flatnonzero(first != np.arange(len(h)))
+    differ = asked[~same(asked, first[asked])]
+    for group in np.unique(first[differ]).tolist():
+        known: dict = {}
+        for k in np.flatnonzero(first == group).tolist():
+            first[k] = known.setdefault(content(k), k)
+    return first
+
+
+def _twice(first: np.ndarray) -> np.ndarray:
+    """Whether each piece has an equal one, from the first of each."""
+    found = first != np.arange(len(first))
+    found[first[found]] = True
     return found
 
 
@@ -88,38 +124,32 @@ class Measures:
     """Counts and coverages of many texts."""
 
     def __init__(self, column: pa.Array, rules: Rules) -> None:
-        data, offsets = utf8(column)
-        n, size = len(offsets) - 1, len(data)
+        data, start, end, words, edges = words_of(column)
+        _, offsets = utf8(column)
+        n = len(offsets) - 1
         owner = np.repeat(np.arange(n), np.diff(offsets))
-        inside = ~_SPACE[data]
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        cuts = offsets[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < size)]
-        first[cuts], last[cuts - 1] = inside[cuts], inside[cuts - 1]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        text = owner[start]
+        text = np.repeat(np.arange(n), np.diff(edges))
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         chars = points[end] - points[start]
         self.n_words, self.word_chars = _sums(text, n), _sums(text, n, chars)
         self.n_symbols = _sums(owner[_SYMBOL[data]], n)
-        values = data.astype(np.uint64) + np.uint64(1)
-        words = _hash(values, start, end, _P)
-        del values
+        mixed = (words.astype(np.uint64) + np.uint64(1)) * np.uint64(_P)
+        mixed ^= mixed >> np.uint64(32)
         self.covered = {}
         for k in sorted({rules.repeat_window, *(k for k, _ in rules.windows)}):
             at = np.arange(max(0, len(words) - k + 1))
             at = at[text[at] == text[at + k - 1]]
-            again = at[_twice(_with_text(_hash(words, at, at + k, _Q), text[at]))]
+            same = lambda a, b: np.logical_and.reduce([words[at[a] + j] == words[at[b] + j] for j in range(k)])  # noqa: B023, E731
+            first = earlier(_with_text(_hash(mixed, at, at + k, _Q), text[at]), lambda a, b: same(a, b) & (text[at[a]] == text[at[b]]), lambda a: (text[at[a]], *words[at[a] : at[a] + k].tolist()))  # noqa: B023
+            again = at[_twice(first)]
             step = np.zeros(len(words) + 1, np.int64)
             np.add.at(step, again, 1)
             np.add.at(step, again + k, -1)
             hit = np.cumsum(step)[:-1] > 0
             self.covered[k] = _sums(text[hit], n), _sums(text[hit], n, chars[hit])
-        self._lines(data, offsets, owner, start, end, text, chars)
+        self._lines(data, offsets, owner, start, end, chars)
 
-    def _lines(self, data, offsets, owner, start, end, text, chars) -> None:
+    def _lines(self, data, offsets, owner, start, end, chars) -> None:
         n = len(offsets) - 1
         breaks = np.flatnonzero(data == 0x0A)
         begin = np.concatenate([offsets[:-1], breaks + 1])
@@ -134,10 +164,9 @@ class Measures:
         begin, stop, whose, low, high = (x[worded] for x in (begin, stop, whose, low, high))
         total = np.concatenate([[0], np.cumsum(chars)])
         h = _with_text(_hash(data.astype(np.uint64) + np.uint64(1), begin, stop, _P), whose)
-        order = np.lexsort((begin, h))
-        s = h[order]
-        later = np.zeros(len(h), bool)
-        later[order[1:]] = s[1:] == s[:-1]
+        equal = lambda a, b: _same_bytes(data, begin, stop, a, b) & (whose[a] == whose[b])
+        first = earlier(h, equal, lambda a: (whose[a], data[begin[a] : stop[a]].tobytes()))
+        later = first != np.arange(len(h))
         self.n_dup_lines = _sums(whose[later], n)
         self.dup_line_chars = _sums(whose[later], n, (total[high] - total[low])[later])
 

@@ -26,10 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import portions, utf8
+from tidemark.llm.common import portions, words_of
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A perfect difference set: every distance below 31 is a difference of two of its remainders.
 COVER, COVER_OF = (0, 1, 3, 8, 12, 18), 31
 
@@ -47,23 +45,6 @@ class Rules:
             raise ValueError("runs of less than three periods escape the grid")
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text array: the bytes, each word's start and end in them, its number (equal for equal words), and each text's first word (n + 1)."""
-    data, offsets = utf8(column)
-    inside = ~_SPACE[data]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(data))]
-    first[cuts], last[cuts - 1] = inside[cuts], inside[cuts - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    ends = np.concatenate([[0], np.cumsum(end - start)])
-    joined = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
-    number = joined.dictionary_encode().indices.to_numpy().astype(np.int64)
-    return data, start, end, number, np.searchsorted(start, offsets)
-
-
 def _dense(keys: list[np.ndarray]) -> np.ndarray:
     """Ranks of tuples, equal for equal ones."""
     order = np.lexsort(keys[::-1])
