@@ -88,6 +88,25 @@ def test_repetition(spark, docs, empty):
     assert repetition.measure(empty).count() == 0
 
 
+def test_repetition_of_texts_whose_polynomial_hashes_agree(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever its base."""
+    for n in (1024, 2048, 4096):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        texts = [f"{word}\n{other}", f"{word} {other} x y z {word} {other}", " ".join(word), f"{word}\n{other}\n{word}\n{other}", " ".join(word) + "\n" + " ".join(other)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for r in repetition.measure(df).collect():
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == _brute_repetition(texts[r.doc_id]), (n, r.doc_id)
+
+
+def test_earlier_tells_pieces_of_one_hash_apart():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        x = rng.integers(0, 6, 40)
+        first = repetition.earlier((x % 2).astype(np.uint64), lambda a, b: x[a] == x[b], lambda k: int(x[k]))
+        assert first.tolist() == [x.tolist().index(v) for v in x.tolist()]
+
+
 # --- personal data ---
 
 PATTERNS = {
@@ -599,6 +618,35 @@ def test_warc(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("archive_bytes", [warc.ARCHIVE_BYTES, 3_000])
+def test_warc_urls_ids_and_archives(spark, tmp_path, archive_bytes):
+    """URLs come back in ASCII, identifiers are unique and referred to, archives are bounded and begin with a warcinfo."""
+    import gzip
+    import io
+    import urllib.parse
+
+    long = "long\nline " * 400_000
+    rows = [(i, f"http://x.org/é/漢 {i % 3}\t😀", "same payload " * 100) for i in range(12)] + [(3, "http://x.org/plain?a=%20", "p")] * 3 + [(99, "http://l", long), (100, None, "é" * 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    arc, out = f"{tmp_path}/arc", f"{tmp_path}/warc"
+    warc.write_arc(pages, arc, archive_bytes=archive_bytes)
+    warc.convert(spark, arc, out, archive_bytes=archive_bytes)
+    got = warc.warc_records(spark, out, payloads=True).collect()
+    assert len(got) == len(rows) == len({r.record_id for r in got})
+    want = sorted((str(i), urllib.parse.quote(u, safe=":/?=&%") if u else f"urn:page:{i}") for i, u, _ in rows)
+    assert sorted((r.key, r.url) for r in got) == want and all(urllib.parse.unquote(r.url) == dict((str(i), u) for i, u, _ in rows[:12]).get(r.key) for r in got if r.payload_bytes == 1300 and r.key != "3")
+    responses = {r.record_id: r for r in got if r.record_type == "response"}
+    revisits = [r for r in got if r.record_type == "revisit"]
+    assert len(revisits) == 11 and all(responses[r.refers_to].key == "11" for r in revisits)
+    assert next(r for r in got if r.key == "99").payload == long.encode()
+    files = list((tmp_path / "warc").glob("*.gz"))
+    assert (len(files) > 4) == (archive_bytes == 3_000)
+    for f in files:
+        records = list(warc.read_warc(io.BytesIO(gzip.decompress(f.read_bytes()))))
+        assert records[0][0]["warc-type"] == "warcinfo" and all(r[0]["warc-type"] != "warcinfo" for r in records[1:])
+        assert sum(len(b) for _, b in records[1:-1]) <= archive_bytes
+
+
 def test_arc_versions_and_lengths():
     import io
 

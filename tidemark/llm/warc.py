@@ -7,14 +7,17 @@ lengths, never by searching payloads, and synthesises for every record a WARC id
 ISO timestamp, the type and the SHA-1 digests. Of records with equal payloads of at least `least_bytes`, that with the
 largest key stays a response and the others become revisits that refer to it.
 
-Archives are written with Spark's text writer (gzip; its line separator is the records' own end), so output files go
-through the task commit protocol to any file system Spark can write, and read with `binaryFile`, one archive at a
-time, unpacked as a stream. Only digests and keys are shuffled to find revisits; payloads are shuffled once, packed, to
-meet the keys of the revisits.
-
-Defined results: a null payload is empty; null URLs are `urn:page:<key>`; spaces and control characters in URLs are
-percent-encoded; of equal payloads whose largest key occurs in several rows all of these are responses; null keys are
-the smallest; an empty table gives no archive and no rows; other columns are ignored.
+An archive has about `archive_bytes` of records (one at least). It is one row of Spark's text writer (gzip, one row to a
+file), so output files go through the task commit protocol to any file system Spark can write, and are read with
+`binaryFile`, one archive at a time, unpacked as a stream. An archive is one gzip member, since that writer packs whole
+files. Only digests, keys and places are shuffled to find revisits. They are a written table, which payloads meet in
+place if it is small enough to broadcast, by a shuffle otherwise.
+
+A record's identifier comes from its key, its URL and its place in the archives, so repeated rows have their own.
+
+Defined results: a null payload is empty; null URLs are `urn:page:<key>`; spaces, control characters and all bytes above
+ASCII in URLs are percent-encoded; of equal payloads whose largest key occurs in several rows all of these are
+responses; null keys are the smallest; an empty table gives no archive and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import hashlib
 import io
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +45,12 @@ WARC_END, ARC_END = "\r\n\r\n", "\n"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-to-warc")
 #: Field of the archived HTTP head that holds the row's key.
 KEY_FIELD = "X-Archive-Key"
+#: Bytes of records after which an archive ends.
+ARCHIVE_BYTES = 32_000_000
 
 
-def record_id(key: str, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{key} {url}')}>"
+def record_id(key: str | None, url: str, file: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{key} {url} {file} {number}')}>"
 
 
 def timestamp(date: str) -> str:
@@ -59,7 +64,8 @@ def digest_field(sha1: bytes) -> str:
 
 
 def _escaped(url: str) -> str:
-    return "".join(f"%{b:02X}" if b <= 0x20 or b == 0x7F else chr(b) for b in url.encode()) if not url.isascii() or any(c <= " " or c == "\x7f" for c in url) else url
+    """A URL in ASCII, as an archive's header line needs it."""
+    return "".join(f"%{b:02X}" if b <= 0x20 or b >= 0x7F else chr(b) for b in url.encode())
 
 
 # --- ARC ---
@@ -129,6 +135,13 @@ def warc_record(kind: str, rid: str, url: str, ip: str, date: str, head: str, pa
     return "\r\n".join(lines) + "\r\n\r\n" + block
 
 
+def warcinfo(name: str, date: str) -> str:
+    """The record at an archive's beginning, without its last two line breaks."""
+    body = "software: tidemark\r\nformat: WARC File Format 1.0\r\n"
+    lines = ["WARC/1.0", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines) + "\r\n\r\n" + body
+
+
 def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by lower-case name, block) of each record, by declared lengths."""
     while line := stream.readline():
@@ -156,7 +169,27 @@ def _unpacked(content: bytes) -> io.BufferedIOBase:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+    """(file, content): file is the archive's name without what differs from run to run."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "").alias("file"), "content")
+
+
+def _archives(records: Iterable[str], end: str, head: Callable[[int], str], most: int) -> Iterator[pa.RecordBatch]:
+    """Records, each followed by `end`, as archives of about `most` bytes, one row to a batch; head(n) begins the n-th. A row leaves out its last end."""
+    held, size, n = [], 0, 0
+    for record in records:
+        if not held:
+            held, n = [head(n)], n + 1
+        held.append(record)
+        size += len(record)
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.large_string()).cast(pa.string())], names=["value"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([end.join(held)])], names=["value"])
+
+
+def _write(rows: DataFrame, end: str, path: str) -> None:
+    rows.write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -172,67 +205,71 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 8_000_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """pages as ARC files in path, each with its version block: every other file is of version 2, the rest of version 1."""
-    rows = pages.select(F.coalesce(F.col(key_col).cast("string"), F.lit("")).alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"), F.spark_partition_id().alias("file"))
-    schema = pa.schema([("value", pa.string())])
+def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """pages as ARC files in path, each with its version block: those of every other task are of version 2, the rest of version 1."""
+    rows = pages.select(F.coalesce(F.col(key_col).cast("string"), F.lit("")).alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"), F.spark_partition_id().alias("task"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records() -> Iterator[tuple[str]]:
-            version = 0
+        version = 1
+
+        def records() -> Iterator[str]:
+            nonlocal version
             for b in batches:
-                for key, url, payload, file in zip(*(c.to_pylist() for c in b.columns)):
-                    if not version:
-                        version = 1 + file % 2
-                        yield (arc_version_block(version).removesuffix("\n"),)
-                    yield (arc_record(version, key, url, payload),)
+                for key, url, payload, task in zip(*(c.to_pylist() for c in b.columns)):
+                    version = 1 + task % 2
+                    yield arc_record(version, key, url, payload)
 
-        yield from _batches(records(), schema)
+        yield from _archives(records(), ARC_END, lambda n: arc_version_block(version).removesuffix("\n"), archive_bytes)
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", ARC_END).option("compression", "gzip").option("maxRecordsPerFile", 0).text(path)
+    _write(rows.mapInArrow(run, "value string"), ARC_END, path)
 
 
 def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """(key, url, ip, date, head, packed, sha1, payload_bytes) of every record of the ARC files in path; packed: the payload by zlib."""
-    schema = pa.schema([("key", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("head", pa.string()), ("packed", pa.binary()), ("sha1", pa.binary()), ("payload_bytes", pa.int64())])
+    """(file, number, key, url, ip, date, head, packed, sha1, payload_bytes) of every record of the ARC files in path; number counts a file's records, packed is the payload by zlib."""
+    schema = pa.schema([("file", pa.string()), ("number", pa.int32()), ("key", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("head", pa.string()), ("packed", pa.binary()), ("sha1", pa.binary()), ("payload_bytes", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
             for b in batches:
-                for content in b.column(0):
-                    for r in read_arc(_unpacked(content.as_py())):
+                for file, content in zip(b.column(0).to_pylist(), b.column(1)):
+                    for number, r in enumerate(read_arc(_unpacked(content.as_py()))):
                         head, payload = _head(r["block"])
-                        yield _field(head, KEY_FIELD), r["url"], r["ip"], timestamp(r["date"]), head.decode(), zlib.compress(payload, 1), hashlib.sha1(payload).digest(), len(payload)
+                        yield file, number, _field(head, KEY_FIELD), r["url"], r["ip"], timestamp(r["date"]), head.decode(), zlib.compress(payload, 1), hashlib.sha1(payload).digest(), len(payload)
 
         yield from _batches(records(), schema)
 
-    return _files(spark, path).mapInArrow(run, "key string, url string, ip string, date string, head string, packed binary, sha1 binary, payload_bytes bigint")
+    return _files(spark, path).mapInArrow(run, "file string, number int, key string, url string, ip string, date string, head string, packed binary, sha1 binary, payload_bytes bigint")
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 1000, key_type: str = "bigint") -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 1000, key_type: str = "bigint", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """The ARC files in arc_path as WARC files in warc_path; keys are compared as key_type."""
     records = arc_records(spark, arc_path)
-    keyed = materialise(records.where(F.col("payload_bytes") >= least_bytes).select("sha1", "key", "url", F.col("key").try_cast(key_type).alias("k")), "payload-keys")
-    best = keyed.groupBy("sha1").agg(F.max("k").alias("k"), F.max_by("key", F.struct("k", "url")).alias("to_key"), F.max_by("url", F.struct("k", "url")).alias("to_url"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = keyed.alias("a").join(best.alias("b"), "sha1").where("NOT a.k <=> b.k").groupBy("a.key", "sha1").agg(F.first(F.struct("to_key", "to_url")).alias("to"))
-    joined = records.join(revisits, ["key", "sha1"], "left")
-    schema = pa.schema([("value", pa.string())])
+    place = ["key", "url", "file", "number"]
+    keyed = materialise(records.where(F.col("payload_bytes") >= least_bytes).select("sha1", *place, F.col("key").try_cast(key_type).alias("k")), "payload-keys")
+    best = keyed.groupBy("sha1").agg(F.max(F.struct("k", *place)).alias("to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that its size is known, and payloads are shuffled only if it is too large to broadcast.
+    revisits = materialise(keyed.join(best, "sha1").where("NOT k <=> to.k").select("file", "number", F.struct(*[f"to.{c}" for c in place]).alias("to")), "revisits")
+    joined = records.join(revisits, ["file", "number"], "left").withColumn("task", F.spark_partition_id())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lines() -> Iterator[tuple[str]]:
+        task = 0
+
+        def lines() -> Iterator[str]:
+            nonlocal task
             for b in batches:
-                for key, url, ip, date, head, packed, sha1, to in zip(*(b.column(c).to_pylist() for c in ("key", "url", "ip", "date", "head", "packed", "sha1", "to"))):
-                    refers = record_id(to["to_key"], to["to_url"]) if to else None
-                    payload = "" if to else zlib.decompress(packed).decode()
-                    yield (warc_record("revisit" if to else "response", record_id(key, url), url, ip, date, head, payload, digest_field(sha1), refers),)
+                for r in b.to_pylist():
+                    to, task = r["to"], r["task"]
+                    refers = record_id(*(to[c] for c in place)) if to else None
+                    payload = "" if to else zlib.decompress(r["packed"]).decode()
+                    yield warc_record("revisit" if to else "response", record_id(*(r[c] for c in place)), r["url"], r["ip"], r["date"], r["head"], payload, digest_field(r["sha1"]), refers)
 
-        yield from _batches(lines(), schema)
+        yield from _archives(lines(), WARC_END, lambda n: warcinfo(f"pages-{task:05d}-{n:05d}.warc.gz", "1996-10-01T00:00:00Z"), archive_bytes)
 
-    joined.mapInArrow(run, "value string").write.option("lineSep", WARC_END).option("compression", "gzip").option("maxRecordsPerFile", 0).text(warc_path)
+    _write(joined.mapInArrow(run, "value string"), WARC_END, warc_path)
 
 
 def warc_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """One row for each record of the WARC files in path: (record_id, record_type, url, date, key, payload_bytes, payload_digest, refers_to), payload if asked for.
+    """One row for each response and revisit of the WARC files in path: (record_id, record_type, url, date, key, payload_bytes, payload_digest, refers_to), payload if asked for.
 
     A response's digest and length are those of the payload read, which must be the declared ones; a revisit's are
     those that it declares.
@@ -243,8 +280,10 @@ def warc_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
             for b in batches:
-                for content in b.column(0):
+                for content in b.column(1):
                     for f, block in read_warc(_unpacked(content.as_py())):
+                        if f["warc-type"] == "warcinfo":
+                            continue
                         head, payload = _head(block)
                         declared = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:"))
                         size = int(_field(head, "Content-Length") or 0)
@@ -257,13 +296,13 @@ def warc_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
     return _files(spark, path).mapInArrow(run, ", ".join(f"{n} {'bigint' if n == 'payload_bytes' else 'string'}" for n in names) + ", payload binary" * payloads)
 
 
-def archive_pages(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000) -> DataFrame:
+def archive_pages(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """pages through ARC files, their conversion and back: (key, payload_bytes, payload_digest, record_type, refers_to) by the WARC files' records."""
     spark = pages.sparkSession
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     kind = dict(pages.dtypes)[key_col]
-    write_arc(pages, arc, key_col, url_col, payload_col)
-    convert(spark, arc, warc, least_bytes, kind)
+    write_arc(pages, arc, key_col, url_col, payload_col, archive_bytes)
+    convert(spark, arc, warc, least_bytes, kind, archive_bytes)
     records = materialise(warc_records(spark, warc).select("record_id", "record_type", "key", "payload_bytes", "payload_digest", "refers_to"), "warc-records")
     named = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("key").alias("to")).distinct()
     revisits = records.where("record_type = 'revisit'").join(named, "refers_to", "left").select("key", "payload_bytes", "payload_digest", "record_type", "to")
