@@ -490,16 +490,16 @@ def test_keep_one_by_similarity(spark, options):
     assert goes >= 0.95 * wanted, (goes, wanted)
 
 
-def test_forest_is_the_closest_links():
-    """Against all pairs: links that connect what pairs within the distance connect, in small and large groups alike."""
+def test_forest_connects_what_pairs_connect():
+    """Against all pairs: links connect what pairs within the distance connect, sure ones what certain pairs connect, in small and large groups alike."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**64, (40, 4), dtype=np.uint64)
     fp = base[rng.integers(0, 40, 400)]
-    fp[:, 0] ^= (np.uint64(1) << rng.integers(0, 40, 400).astype(np.uint64)) | (np.uint64(1) << rng.integers(0, 40, 400).astype(np.uint64))
+    for _ in range(3):
+        fp[:, 0] ^= np.uint64(1) << rng.integers(0, 40, 400).astype(np.uint64)
     group = np.sort(rng.choice([1, 1, 1, 2, 3, 4], 400))
-    for small in (64, 1, 400):
-        a, b, d = simhash._forest(fp, group, 3, small)
-        assert (group[a] == group[b]).all() and (simhash._bits(fp[a], fp[b]) == d).all() and (d <= 3).all()
+
+    def joined(pairs):
         parent = list(range(400))
 
         def root(x):
@@ -507,15 +507,45 @@ def test_forest_is_the_closest_links():
                 x = parent[x]
             return x
 
-        def joined(pairs):
-            parent[:] = range(400)
-            for x, y in pairs:
-                parent[max(root(x), root(y))] = min(root(x), root(y))
-            return [root(x) for x in range(400)]
+        for x, y in pairs:
+            parent[max(root(x), root(y))] = min(root(x), root(y))
+        return [root(x) for x in range(400)]
+
+    every = [(i, j, int(simhash._bits(fp[i], fp[j]))) for i in range(400) for j in range(i) if group[i] == group[j]]
+    for small in (0, 1, 64, 400):
+        a, b, sure = simhash._forest(fp, group, 2, 4, small)
+        assert (group[a] == group[b]).all() and len(a) < 400
+        assert joined(zip(a.tolist(), b.tolist())) == joined([(i, j) for i, j, d in every if d <= 4])
+        assert joined(zip(a[sure].tolist(), b[sure].tolist())) == joined([(i, j) for i, j, d in every if d <= 2])
+    assert all(len(x) == 0 for x in simhash._forest(fp[:0], group[:0], 2, 4))
+
+
+def test_blocks_follow_the_number_of_texts():
+    assert simhash.blocks_for(10) == simhash.blocks_for(200_000) == (66, 18)
+    keys, bits = simhash.blocks_for(10**9)
+    assert bits == 30 and 400 < keys < 500
+
 
-        every = [(i, j) for i in range(400) for j in range(i) if group[i] == group[j] and simhash._bits(fp[i], fp[j]) <= 3]
-        assert joined(zip(a.tolist(), b.tolist())) == joined(every)
-    assert all(len(x) == 0 for x in simhash._forest(fp[:0], group[:0], 3))
+@pytest.mark.parametrize("key_bits", [18, 6, 3])
+def test_keep_one_of_a_large_family(spark, key_bits):
+    """1,500 texts of one family, most pairs of which lie below 0.8, and 200 true copies: what blocks are large changes nothing."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(200)]
+    texts = []
+    for k in range(1500):
+        x = list(base)
+        for at in rng.sample(range(200), 5):
+            x[at] = f"n{k}.{at}"
+        texts.append(x)
+    for k in range(200):
+        x = list(texts[rng.randrange(1500)])
+        x[199 - k % 3] = f"z{k}"
+        texts.append(x)
+    texts = [" ".join(x) for x in texts]
+    want = _brute_similar(dict(enumerate(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one(df, key_bits=key_bits, keys=64 if key_bits > 6 else 16, chunk_rows=200).collect()}
+    assert kept == {i for i, c in want.items() if i == c} and 1300 < len(kept) <= 1500
 
 
 def test_keep_one_of_repeated_and_null_ids(spark):

@@ -11,7 +11,8 @@ holds an unbounded bucket and no link is lost.
 
 `similar` and `keep_one` take five-word shingles and a similarity of 0.8, where pairs differ in some 15 % of their bits.
 No cut of 64 bits into whole blocks shares one then, so their fingerprints have 256 bits and their blocks are sampled
-from these, many of them; candidates by Hamming distance that could be either are decided by their shingles.
+from these, as many as the number of texts asks for. Blocks and Hamming distance find families, within which every pair
+that the distance leaves open is decided by its shingles, in tasks of bounded size.
 
 Defined results: null text and texts without words have fingerprint 0, which links like any other; repeated
 rows share their component; a null id never names a component unless all of its ids are null; an empty table
@@ -21,6 +22,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -234,31 +236,12 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _shortest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the links (a, b) of d bits make the spanning forest of the closest pairs."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    used = []
-    for k in np.argsort(d, kind="stable").tolist():
-        x, y = root(int(a[k])), root(int(b[k]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            used.append(k)
-    return np.array(used, np.int64)
+def _forest(fp: np.ndarray, group: np.ndarray, certain: int, distance: int, small: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure): links that span what pairs of at most `distance` bits connect within each group of equal, adjacent `group`.
 
-
-def _forest(fp: np.ndarray, group: np.ndarray, distance: int, small: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, bits): links of at most `distance` bits that span what such links connect within each group of equal, adjacent `group`.
-
-    Groups of up to `small` rows are compared pair by pair, all at once, and keep their closest links. A larger one is
-    searched breadth first: a row is compared only with rows that no part has reached yet, so a group of copies costs
-    its length and not its square.
+    The sure ones alone span what pairs of at most `certain` bits connect. Groups of up to `small` rows are compared pair
+    by pair, all at once. A larger one is searched breadth first: a row is compared only with rows that no part has
+    reached yet, so a group of copies costs its length and not its square. Either way what is connected is the same.
     """
     edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
     sizes = np.diff(edges)
@@ -273,25 +256,46 @@ def _forest(fp: np.ndarray, group: np.ndarray, distance: int, small: int = 64) -
             x.append(y)
         step += 1
     a, b, d = map(np.concatenate, found)
-    used = _shortest(a, b, d)
-    found = [[a[used]], [b[used]], [d[used]]]
+    order = np.argsort(d > certain, kind="stable")
+    pairs = [zip(a[order].tolist(), b[order].tolist(), (d[order] <= certain).tolist())]
     for k in np.flatnonzero(sizes > small):
-        rest = np.arange(edges[k], edges[k + 1])
-        while len(rest):
-            queue, rest = [int(rest[0])], rest[1:]
-            while queue and len(rest):
-                at = queue.pop(0)
-                d = _bits(fp[rest], fp[at])
-                near = d <= distance
-                for x, y in zip(found, (np.full(near.sum(), at), rest[near], d[near])):
-                    x.append(y)
-                queue += rest[near][np.argsort(d[near], kind="stable")].tolist()
-                rest = rest[~near]
-    return tuple(map(np.concatenate, found))
-
-
-def wide_links(distinct: DataFrame, distance: int, keys: int, key_bits: int, bucket_rows: int) -> DataFrame:
-    """(a, b, bits), a > b: links between the rows (node, fp) of distinct that share a sampled block and differ in at most `distance` bits."""
+        for family in _reached(fp, np.arange(edges[k], edges[k + 1]), distance):
+            parts = _reached(fp, family, certain) if len(family) > 1 else []
+            pairs += [zip([int(p[0])] * (len(p) - 1), p[1:].tolist(), [True] * (len(p) - 1)) for p in parts]
+            pairs.append([(int(parts[0][0]), int(p[0]), False) for p in parts[1:]])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    used = []
+    for i, j, sure in itertools.chain(*pairs):
+        x, y = root(i), root(j)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            used.append((i, j, sure))
+    return np.array([u[0] for u in used], np.int64), np.array([u[1] for u in used], np.int64), np.array([u[2] for u in used], bool)
+
+
+def _reached(fp: np.ndarray, rows: np.ndarray, distance: int) -> list[np.ndarray]:
+    """The rows in the parts that pairs of at most `distance` bits connect."""
+    out = []
+    while len(rows):
+        part, queue, rows = [rows[:1]], [int(rows[0])], rows[1:]
+        while queue and len(rows):
+            near = _bits(fp[rows], fp[queue.pop()]) <= distance
+            part.append(rows[near])
+            queue += rows[near].tolist()
+            rows = rows[~near]
+        out.append(np.concatenate(part))
+    return out
+
+
+def wide_links(distinct: DataFrame, distance: int, certain: int, keys: int, key_bits: int, bucket_rows: int) -> DataFrame:
+    """(a, b, sure), a > b: links that connect the rows (node, fp) of distinct that share a sampled block and differ in at most `distance` bits; sure: in at most `certain`, or by such steps."""
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,9 +323,9 @@ def wide_links(distinct: DataFrame, distance: int, keys: int, key_bits: int, buc
         g, node, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE // 64), np.uint64)
 
         def found(upto: int) -> pa.RecordBatch:
-            a, b, d = _forest(fp[:upto], g[:upto], distance)
+            a, b, sure = _forest(fp[:upto], g[:upto], certain, distance)
             a, b = node[:upto][a], node[:upto][b]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.maximum(a, b), np.minimum(a, b), d)], names=["a", "b", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.maximum(a, b), np.minimum(a, b), sure)], names=["a", "b", "sure"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -334,7 +338,68 @@ def wide_links(distinct: DataFrame, distance: int, keys: int, key_bits: int, buc
             g, node, fp = g[cut:], node[cut:], fp[cut:]
         yield found(len(g))
 
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint, bits bigint").distinct()
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
+
+
+def _decided(part: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (part, part) between rows of different parts, one of which asks, whose sets have a Jaccard similarity of at least `least`.
+
+    An index from members to rows counts what a row shares with all others at once.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = set()
+    for k in np.flatnonzero(asks & (size > 0)).tolist():
+        low, high = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = (both >= least * (size[k] + size - both)) & (part != part[k])
+        out.update((max(p, int(part[k])), min(p, int(part[k]))) for p in part[near].tolist())
+    return list(out)
+
+
+def _part_links(members: DataFrame, sets: DataFrame, least: float, chunk_rows: int, chunk_shingles: int) -> DataFrame:
+    """(a, b): parts of a family of which two rows are similar, of members (node, part, family) and sets (node, shingles).
+
+    Rows of a family's largest part meet the others only, as its own need no decision; the others also meet each other.
+    Both are dealt out as chunks of bounded rows and shingles, and a task has two chunks at a time.
+    """
+    sized = materialise(members.join(sets.select("node", F.size("shingles").alias("n")), "node"), "members")
+    parts = sized.groupBy("family", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    whole = parts.groupBy("family").agg(F.max(F.struct("rows", "part")).alias("top"), F.max_by("n", F.struct("rows", "part")).alias("top_n"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+    chunks = lambda rows, n: F.greatest(F.ceil(rows / F.lit(chunk_rows)), F.ceil(n / F.lit(chunk_shingles)), F.lit(1)).cast("int")
+    whole = materialise(whole.select(F.col("family").alias("f"), F.col("top.part").alias("top"), chunks(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top_n")).alias("q"), chunks(F.col("top.rows"), F.col("top_n")).alias("l")), "families")
+    own = sized.join(whole, F.col("family") == F.col("f")).withColumn("asks", F.col("part") != F.col("top"))
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("q")).otherwise(F.col("l"))).cast("int")
+    numbers = lambda upto: F.sequence(F.lit(0), F.col(upto) - 1)
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    with_others = F.transform(numbers("q"), lambda k: place(0, F.least("own", k), F.greatest("own", k)))
+    with_top = F.transform(numbers("l"), lambda k: place(1, F.col("own"), k))
+    of_top = F.transform(numbers("q"), lambda k: place(1, k, F.col("own")))
+    dealt = own.withColumn("own", mine).withColumn("p", F.explode(F.when(F.col("asks"), F.concat(with_others, with_top)).otherwise(of_top)))
+    dealt = dealt.select("node", "part", "asks", F.xxhash64("family", "p.kind", "p.i", "p.j").alias("g")).join(sets, "node").select("g", "part", "asks", "shingles")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bool, np.ndarray]] = []
+        last = None
+
+        def found() -> pa.RecordBatch:
+            links = _decided(np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], bool), [h[2] for h in held], least) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            values, offsets = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
+            for k, (g, part, asks) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                if g != last:
+                    yield found()
+                    held, last = [], g
+                held.append((part, asks, values[offsets[k] : offsets[k + 1]].copy()))
+        yield found()
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _classes(first: DataFrame, roots: DataFrame, node: str) -> DataFrame:
@@ -352,25 +417,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(_classes(first, roots, "fp"), "fp").select(id_col, "fp", "component")
 
 
-def similar(rows: DataFrame, row_col: str, key: Column, text_col: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 56, certain: int = 24, keys: int = 64, key_bits: int = 18, bucket_rows: int = 4096) -> DataFrame:
+def blocks_for(rows: int, similarity: float = 0.8, recall: float = 0.97) -> tuple[int, int]:
+    """(keys, key_bits) for some number of texts: blocks of as many bits as tell them apart, 18 at least, and so many that a pair of the similarity shares one with the probability `recall`."""
+    key_bits = min(WIDE, max(18, math.ceil(math.log2(max(2, rows)))))
+    same = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** key_bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - same)), key_bits
+
+
+def similar(rows: DataFrame, row_col: str, key: Column, text_col: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 56, certain: int = 24, keys: int | None = None, key_bits: int | None = None, bucket_rows: int = 4096, chunk_rows: int = 512, chunk_shingles: int = 2_000_000) -> DataFrame:
     """(fp, component), one row for each distinct wide fingerprint: the smallest key of its class.
 
     Classes are closed over links between texts whose sets of `shingle` words have a Jaccard similarity of at least
     `least`; row_col is a unique bigint. Of two texts of similarity j a bit differs with probability
     acos(2 j / (1 + j)) / pi: 38.8 of 256 bits at 0.8, with a deviation of 5.7. So pairs of at most `certain` bits are
-    links, those of up to `distance` are candidates, and the candidates' shingles decide. A pair shares one of
-    64 blocks of 18 sampled bits with a probability of 0.97 at 0.8, and of over 0.99 from 0.85 on.
+    links; pairs of up to `distance` that share a block make families. Within a family every two texts that the first
+    rule hasn't linked are compared by their shingles, whatever the sizes of blocks and families. Blocks are those of
+    blocks_for unless given: a pair at 0.8 shares one with a probability of 0.97, from 0.85 on of over 0.99.
     """
     prints = wide_fingerprints(rows.select(F.struct(key.alias("key"), F.col(row_col).alias("row")).alias("id"), text_col), "id", text_col, shingle)
     first = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")).select("fp", F.col("first.key").alias("first"), F.col("first.row").alias("node")), "fingerprints")
-    found = materialise(wide_links(first, distance, keys, key_bits, bucket_rows), "links")
-    unsure = found.where(F.col("bits") > certain)
-    asked = materialise(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    sets = materialise(shingle_sets(rows.select(F.col(row_col).alias("node"), text_col).join(asked, "node", "left_semi"), "node", text_col, shingle), "shingles")
-    pairs = unsure.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    linked = pairs.where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
-    return _classes(first, components(found.where(F.col("bits") <= certain).select("a", "b").union(linked)), "node")
+    own_keys, own_bits = blocks_for(first.count(), least)
+    found = materialise(wide_links(first, distance, certain, keys or own_keys, key_bits or own_bits, bucket_rows), "links")
+    sure = components(found.where("sure").select("a", "b")).withColumnRenamed("root", "part")
+    of = lambda df, node, part: df.join(sure.select(F.col("node").alias(f"__{node}"), F.col("part").alias(part)), F.col(node) == F.col(f"__{node}"), "left").withColumn(part, F.coalesce(part, node)).drop(f"__{node}")
+    open_ = of(of(found.where("NOT sure").select("a", "b"), "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b")
+    families = components(open_).select(F.col("node").alias("part"), F.col("root").alias("family"))
+    members = materialise(of(first.select("node"), "node", "part").join(families, "part"), "families")
+    sets = materialise(shingle_sets(rows.select(F.col(row_col).alias("node"), text_col).join(members.select("node"), "node", "left_semi"), "node", text_col, shingle), "shingles")
+    parts = components(_part_links(members, sets, least, chunk_rows, chunk_shingles)).select(F.col("node").alias("part"), F.col("root").alias("whole"))
+    roots = of(first.select("node"), "node", "part").join(parts, "part", "left").select("node", F.coalesce("whole", "part").alias("root"))
+    return _classes(first, roots, "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
