@@ -27,7 +27,6 @@ import gzip
 import hashlib
 import io
 import uuid
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -224,9 +223,9 @@ def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: st
     _write(rows.mapInArrow(run, "value string"), ARC_END, path)
 
 
-def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, number, key, url, ip, date, head, packed, sha1, payload_bytes) of every record of the ARC files in path; number counts a file's records, packed is the payload by zlib."""
-    schema = pa.schema([("file", pa.string()), ("number", pa.int32()), ("key", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("head", pa.string()), ("packed", pa.binary()), ("sha1", pa.binary()), ("payload_bytes", pa.int64())])
+def arc_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """(file, number, key, url, ip, date, head, sha1, payload_bytes) of every record of the ARC files in path, and its payload if asked for; number counts a file's records."""
+    schema = pa.schema([("file", pa.string()), ("number", pa.int32()), ("key", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("head", pa.string()), ("sha1", pa.binary()), ("payload_bytes", pa.int64())] + [("payload", pa.binary())] * payloads)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
@@ -234,18 +233,18 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
                 for file, content in zip(b.column(0).to_pylist(), b.column(1)):
                     for number, r in enumerate(read_arc(_unpacked(content.as_py()))):
                         head, payload = _head(r["block"])
-                        yield file, number, _field(head, KEY_FIELD), r["url"], r["ip"], timestamp(r["date"]), head.decode(), zlib.compress(payload, 1), hashlib.sha1(payload).digest(), len(payload)
+                        yield file, number, _field(head, KEY_FIELD), r["url"], r["ip"], timestamp(r["date"]), head.decode(), hashlib.sha1(payload).digest(), len(payload), *[payload] * payloads
 
         yield from _batches(records(), schema)
 
-    return _files(spark, path).mapInArrow(run, "file string, number int, key string, url string, ip string, date string, head string, packed binary, sha1 binary, payload_bytes bigint")
+    return _files(spark, path).mapInArrow(run, "file string, number int, key string, url string, ip string, date string, head string, sha1 binary, payload_bytes bigint" + ", payload binary" * payloads)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 1000, key_type: str = "bigint", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """The ARC files in arc_path as WARC files in warc_path; keys are compared as key_type."""
-    records = arc_records(spark, arc_path)
+    light, records = arc_records(spark, arc_path, payloads=False), arc_records(spark, arc_path)
     place = ["key", "url", "file", "number"]
-    keyed = materialise(records.where(F.col("payload_bytes") >= least_bytes).select("sha1", *place, F.col("key").try_cast(key_type).alias("k")), "payload-keys")
+    keyed = materialise(light.where(F.col("payload_bytes") >= least_bytes).select("sha1", *place, F.col("key").try_cast(key_type).alias("k")), "payload-keys")
     best = keyed.groupBy("sha1").agg(F.max(F.struct("k", *place)).alias("to"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written, so that its size is known, and payloads are shuffled only if it is too large to broadcast.
     revisits = materialise(keyed.join(best, "sha1").where("NOT k <=> to.k").select("file", "number", F.struct(*[f"to.{c}" for c in place]).alias("to")), "revisits")
@@ -257,10 +256,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
         def lines() -> Iterator[str]:
             nonlocal task
             for b in batches:
-                for r in b.to_pylist():
+                for r in (r for low in range(0, b.num_rows, 64) for r in b.slice(low, 64).to_pylist()):
                     to, task = r["to"], r["task"]
                     refers = record_id(*(to[c] for c in place)) if to else None
-                    payload = "" if to else zlib.decompress(r["packed"]).decode()
+                    payload = "" if to else r["payload"].decode()
                     yield warc_record("revisit" if to else "response", record_id(*(r[c] for c in place)), r["url"], r["ip"], r["date"], r["head"], payload, digest_field(r["sha1"]), refers)
 
         yield from _archives(lines(), WARC_END, lambda n: warcinfo(f"pages-{task:05d}-{n:05d}.warc.gz", "1996-10-01T00:00:00Z"), archive_bytes)
