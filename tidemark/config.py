@@ -36,6 +36,9 @@ class Settings:
     look_back: float = 30.0
     look_ahead: float = 30.0
     least_segment: float = 0.05
+    #: Length of a tile of a long tape, and the duration from which a tape is worked on in tiles.
+    tile_s: float = 36_000.0
+    long_tape_s: float = 1_000_000.0
     #: Years that a reading may have, and the first two-digit year of the 1900s.
     first_year: int = 1985
     last_year: int = 2005

@@ -42,14 +42,18 @@ def labelled(clips: DataFrame, filtered: DataFrame, found: DataFrame, mode: str,
     Without one, the first reading; without any, the position. Each confirmed reading carries the next one of another
     date, so one as-of join finds either.
     """
-    sure = confirmed(filtered, settings).where("confirmed").withColumn("__d", F.to_date("cam_ts"))
+    old = clips.join(found.select("tape_id", "boundary_id", F.to_date("cam_before").alias("__old")), ["tape_id", "boundary_id"], "left")
+    return named(old, confirmed(filtered, settings).where("confirmed"), filtered, mode)
+
+
+def named(clips: DataFrame, sure: DataFrame, filtered: DataFrame, mode: str) -> DataFrame:
+    """clips with a label, of confirmed and all readings, and __old, the date before each clip's boundary."""
     back = Window.partitionBy("tape_id").orderBy(F.desc("video_t"), F.desc("cam_ts"))
+    sure = sure.withColumn("__d", F.to_date("cam_ts"))
     following = F.lag("__d").over(back)
     changed = F.when(F.col("__d") != following, F.lag("cam_ts").over(back))
     sure = sure.withColumn("__c", changed).withColumn("other", F.last("__c", ignorenulls=True).over(back))
-    old = found.select("tape_id", "boundary_id", F.to_date("cam_before").alias("__old"))
-    out = clips.join(old, ["tape_id", "boundary_id"], "left")
-    out = asof(out, sure.select("tape_id", "video_t", "cam_ts", "other"), "start_t", "video_t", "__sure", forward=True)
+    out = asof(clips, sure.select("tape_id", "video_t", "cam_ts", "other"), "start_t", "video_t", "__sure", forward=True)
     out = asof(out, filtered.select("tape_id", "video_t", "cam_ts"), "start_t", "video_t", "__any", forward=True)
     first = F.col("__sure.cam_ts")
     picked = F.when(F.to_date(first) == F.col("__old"), F.col("__sure.other")).otherwise(first)

@@ -298,6 +298,8 @@ SELECT *, coalesce(g AND lag(g) OVER w AND cut_t - lag(cut_t) OVER w < {DEFAULTS
     ),
     "reading_confirmed": _sql("SELECT tape_id, video_t, confirmed FROM conf", "conf"),
     **{f"clips_{m}": _sql(_NAMED.format(f"clips_{m}"), f"clips_{m}") for m in ("scene", "session", "daily")},
+    "clips_tiled": _sql(_NAMED.format("clips_daily"), "clips_daily"),
+    "merge_short_walk": _sql("SELECT tape_id, cut_t, boundary_id FROM m_scene", "m_scene"),
     "same_date_neighbours": _sql("SELECT tape_id, clip_no, label, previous_s, duration_s FROM (SELECT *, end_t - start_t AS duration_s, lag(end_t - start_t) OVER w AS previous_s, lag(label) OVER w AS p FROM clips_raw WINDOW w AS (PARTITION BY tape_id ORDER BY clip_no)) WHERE p = label", "clips_raw"),
     "transitions": _sql("SELECT tape_id, boundary_id, any_ocr, last_old, first_new, new_dt FROM tr", "tr"),
     "refine_session": _sql("SELECT tape_id, boundary_id, CASE way WHEN 1 THEN place WHEN 2 THEN CASE WHEN upper IS NOT NULL THEN place ELSE last_old + 1 END WHEN 4 THEN before ELSE video_t END AS cut_t, CASE way WHEN 1 THEN 'ocr' WHEN 2 THEN 'ocr' WHEN 4 THEN 'visual' ELSE 'coarse' END AS method, CASE way WHEN 1 THEN '' WHEN 2 THEN 'garbled-boundary' WHEN 3 THEN 'all-old-in-window' WHEN 4 THEN '' WHEN 5 THEN 'SDZ ' || CAST(span AS INT) || 's no-anchor' ELSE 'LDZ ' || CAST(span AS INT) || 's' END AS detail FROM fin", "fin"),

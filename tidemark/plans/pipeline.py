@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Settings
-from tidemark.operators import clean, label, refine, sample, segment
+from tidemark.operators import clean, label, refine, sample, segment, tiles
 from tidemark.sources.shared import written
 
 
@@ -30,7 +30,19 @@ def _cleaned(samples: DataFrame, settings: Settings) -> tuple[DataFrame, DataFra
 
 
 def dry_run(samples: DataFrame, tapes: DataFrame, settings: Settings = DEFAULTS) -> Result:
-    """samples (tape_id, video_t, raw) and tapes (tape_id, duration_s) to clips at coarse cuts."""
+    """samples (tape_id, video_t, raw) and tapes (tape_id, duration_s) to clips at coarse cuts; tapes of long_tape_s or more are worked on in tiles."""
+    is_long = F.coalesce(F.col("duration_s") >= settings.long_tape_s, F.lit(False))
+    long = tapes.where(is_long)
+    if long.isEmpty():
+        return _dry_run(samples, tapes, settings)
+    # The table of tapes is small beside that of samples; written, so that the planner knows it.
+    long, short = written(long, "long-tapes"), written(tapes.where(~is_long), "short-tapes")
+    whole = _dry_run(samples.join(long.select("tape_id"), "tape_id", "left_anti"), short, settings)
+    tiled = tiles.dry_run(samples.join(long.select("tape_id"), "tape_id", "left_semi"), long, settings)
+    return Result(*[a.unionByName(b) for a, b in zip((whole.filtered, whole.boundaries, whole.clips), tiled)])
+
+
+def _dry_run(samples: DataFrame, tapes: DataFrame, settings: Settings) -> Result:
     filtered, found = _cleaned(samples, settings)
     cuts = segment.merge_short(segment.group_cuts(found, tapes, settings.mode), settings.clip_floor())
     return Result(filtered, found, label.labelled(label.clip_bounds(cuts, tapes), filtered, found, settings.mode, settings))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS
 from tidemark.functions import parse, values
-from tidemark.operators import clean, cutplan, evaluate, label, refine, sample, segment
+from tidemark.operators import clean, cutplan, evaluate, label, refine, sample, segment, tiles
 from tidemark.plans import pipeline
 from tidemark.sources import caches, shared, tables
 
@@ -312,6 +312,22 @@ def clips_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label.file_name(_clips(spark, sf_dir, SCENE))
 
 
+@_query
+def clips_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily clips of tapes in tiles of an hour, numbered and cut without any task that has a whole tape."""
+    settings = dataclasses.replace(DEFAULTS, tile_s=3600.0)
+    s = shared.written(tables.samples(spark, sf_dir, ranged=True), "samples")
+    tapes = shared.written(s.groupBy("tape_id").agg((F.max("video_t") + 10.0).alias("duration_s")), "tapes")
+    return label.file_name(tiles.dry_run(s, tapes, settings)[2])
+
+
+@_query
+def merge_short_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scene cuts merged by a walk along pointers, in blocks of 256 cuts."""
+    settings = dataclasses.replace(DEFAULTS, tile_s=3600.0)
+    return tiles.merge_short(shared.written(_cuts(spark, sf_dir, "scene"), "scene-cuts"), DEFAULTS.min_clip, settings, block=256)
+
+
 @_query
 def same_date_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     filtered, tapes = _filtered(spark, sf_dir), tables.tapes(spark, sf_dir)

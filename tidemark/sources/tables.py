@@ -10,12 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import written
+
 USERS_OF_A_TAPE = 30
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tape_id, rn, event_type, ts) of the events table, numbered along each tape."""
+def events(spark: SparkSession, sf_dir: str, ranged: bool = False) -> DataFrame:
+    """(tape_id, rn, event_type, ts) of the events table, numbered along each tape; ranged: by ranges of a sorted, written table, where one tape may hold a large part of all rows."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("user_id") / USERS_OF_A_TAPE).cast("string").alias("tape_id"), "event_id", "event_type", "ts")
+    if ranged:
+        keys = ["tape_id", "ts", "event_id"]
+        e = written(e.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), "events")
+        e = e.withColumn("part", F.shiftright("at", 33))
+        parts = e.groupBy("tape_id", "part").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("tape_id").orderBy("part")) - F.col("n")
+        parts = written(parts.select("tape_id", "part", "low", before.alias("before")), "parts")
+        return e.join(parts, ["tape_id", "part"]).select("tape_id", "event_type", "ts", (F.col("at") - F.col("low") + F.col("before") + 1).cast("int").alias("rn"))
     order = Window.partitionBy("tape_id").orderBy("ts", "event_id")
     return e.withColumn("rn", F.row_number().over(order)).drop("event_id")
 
@@ -27,9 +37,9 @@ def _clock_text(year: Column, month: Column, day: Column, hour: Column, minute:
     return F.when(timed_only, clock).otherwise(F.concat(clock, date))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, ranged: bool = False) -> DataFrame:
     """(tape_id, rn, video_t, raw, event_type): readings with misreads at fixed row numbers, null where the event is an error, without date where it is a signup."""
-    e, rn = events(spark, sf_dir), F.col("rn")
+    e, rn = events(spark, sf_dir, ranged), F.col("rn")
     y, mo, d, h, mi = F.year("ts") - 34, F.month("ts"), F.day("ts"), F.hour("ts"), F.minute("ts")
     rule = F.when(rn % 53 == 0, "hour").when(rn % 97 == 0, "island").when((rn % 89).isin(0, 1), "digit").when((rn % 83).isin(0, 1), "month").when((rn % 79).isin(0, 1), "year").otherwise("")
     e = e.withColumn("__rule", rule)
