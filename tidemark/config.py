@@ -39,6 +39,9 @@ class Settings:
     #: Length of a tile of a long tape, and the duration from which a tape is worked on in tiles.
     tile_s: float = 36_000.0
     long_tape_s: float = 1_000_000.0
+    #: Clock models: the fewest readings of a fit, and how far from it a reading may be.
+    model_readings: int = 5
+    model_residual_s: float = 300.0
     #: Years that a reading may have, and the first two-digit year of the 1900s.
     first_year: int = 1985
     last_year: int = 2005
@@ -54,6 +57,9 @@ class Settings:
     #: Evaluator: distances within which a cut and a group of readings count as a boundary's.
     eval_cut_distance: float = 120.0
     eval_group_distance: float = 5.0
+    #: How far before and behind a boundary its true change is searched.
+    search_before: float = 60.0
+    search_behind: float = 5.0
 
     def clip_floor(self) -> float:
         """The shortest clip of the mode."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.config import DEFAULTS, Settings
 from tidemark.functions import parse
 from tidemark.operators.joins import asof
 from tidemark.operators.sample import by_time
+from tidemark.sources.shared import written
 
 
 def dead_zones(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -67,6 +70,45 @@ def results(zones: DataFrame, clips: DataFrame, readings: DataFrame, settings: S
     return out.select("tape_id", "boundary_idx", "coarse_t", "none_span_s", "old_dt", "new_dt", "true_change", "pipeline_cut", error("pipeline_cut").alias("placement_error_s"), error("coarse_t").alias("coarse_error_s"))
 
 
+Labeller = Callable[[DataFrame], DataFrame]
+
+
+def labels_of(labels: DataFrame) -> Labeller:
+    """A labeller of a table (tape_id, t, label) with a row for each whole second that has a frame: requests get the label of the second they are in."""
+
+    def read(requests: DataFrame) -> DataFrame:
+        return requests.withColumn("__s", F.floor("t")).join(labels.select("tape_id", F.col("t").cast("bigint").alias("__s"), "label"), ["tape_id", "__s"], "left").drop("__s")
+
+    return read
+
+
+def bisected(zones: DataFrame, read: Labeller, narrow: float = 2.0) -> DataFrame:
+    """zones (tape_id, boundary_id, lo, hi, old, …) with true_change, the position where labels stop to be old, and calls.
+
+    All zones are halved together: a round asks read for one table (tape_id, boundary_id, t) of middles and gets a label
+    for each, null where there is no frame. A label that is neither NOISE nor NONE nor old is on the new side. Rounds
+    go on, over written tables, until every zone is `narrow` seconds or less; then its seconds are looked at in order,
+    and the first new one, else the upper end, is the change. calls counts labels that a sequential search would have asked for.
+    """
+    key = ["tape_id", "boundary_id"]
+    new = F.coalesce(~F.col("label").isin("NOISE", "NONE") & (F.col("label") != F.col("old")), F.lit(False))
+    asked = F.col("label").isNotNull().cast("bigint")
+    state = written(zones.withColumns({"__lo": F.col("lo").cast("double"), "__hi": F.col("hi").cast("double"), "calls": F.lit(0).cast("bigint")}), "bisection")
+    wide = F.col("__hi") - F.col("__lo") > narrow
+    while not state.where(wide).isEmpty():
+        answers = read(state.where(wide).select(*key, ((F.col("__lo") + F.col("__hi")) / 2).alias("t"), "old"))
+        found = answers.select(*key, F.col("t").alias("__mid"), new.alias("__new"), asked.alias("__asked"))
+        state = state.join(found, key, "left").withColumns({"__lo": F.when(~F.col("__new"), F.col("__mid")).otherwise(F.col("__lo")), "__hi": F.when(F.col("__new"), F.col("__mid")).otherwise(F.col("__hi")), "calls": F.col("calls") + F.coalesce("__asked", F.lit(0))})
+        state = written(state.drop("__mid", "__new", "__asked"), "bisection")
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.col("__hi") - F.col("__lo")).cast("int") + 1))
+    sweep = read(state.select(*key, F.explode(steps).alias("k"), "__lo", "__hi", "old").withColumn("t", F.col("__lo") + F.col("k")).where("t <= __hi").select(*key, "t", "old"))
+    first = sweep.groupBy(*key).agg(F.min(F.when(new, F.col("t"))).alias("__first"), F.collect_list(F.struct("t", asked.alias("n"))).alias("__asked"))
+    until = F.filter("__asked", lambda x: F.col("__first").isNull() | (x["t"] <= F.col("__first")))
+    counted = first.select(*key, "__first", F.aggregate(until, F.lit(0).cast("bigint"), lambda n, x: n + x["n"]).alias("__more"))
+    out = state.join(counted, key, "left")
+    return out.withColumns({"true_change": F.coalesce("__first", "__hi"), "calls": F.col("calls") + F.coalesce("__more", F.lit(0))}).drop("__lo", "__hi", "__first", "__more")
+
+
 def summary(of: DataFrame) -> DataFrame:
     """One row: count, and median, largest and mean of both errors, nulls left out."""
     stats = [f(c).alias(f"{n}_{c}") for c in ("placement_error_s", "coarse_error_s") for n, f in (("median", F.median), ("max", F.max), ("mean", F.avg))]

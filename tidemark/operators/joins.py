@@ -20,5 +20,6 @@ def asof(left: DataFrame, right: DataFrame, at: str, right_at: str, name: str, f
     place = F.desc("__at") if forward else F.asc("__at")
     tie = F.asc("__right") if strict else F.desc("__right")
     seen = Window.partitionBy("__key").orderBy(place, tie, "__r").rowsBetween(Window.unboundedPreceding, 0)
-    found = lefts.unionByName(rights).withColumn("__m", F.when(F.col("__at").isNotNull(), F.last("__r", ignorenulls=True).over(seen)))
+    # Dealt out anew: both sides may be by key already, in partitions that don't match once they were coalesced.
+    found = lefts.unionByName(rights).repartition("__key").withColumn("__m", F.when(F.col("__at").isNotNull(), F.last("__r", ignorenulls=True).over(seen)))
     return found.where("__right = 0").select("__l.*", F.col("__m").alias(name))

@@ -31,7 +31,7 @@ def clip_bounds(cuts: DataFrame, tapes: DataFrame) -> DataFrame:
     """(tape_id, clip_no, start_t, end_t, exact_start, exact_end, boundary_id) of cuts and tapes (tape_id, duration_s)."""
     order = Window.partitionBy("tape_id").orderBy("cut_t")
     following = F.lead("cut_t").over(order)
-    numbered = cuts.withColumn("clip_no", F.row_number().over(order)).withColumn("exact_end", following)
+    numbered = cuts.repartition("tape_id").withColumn("clip_no", F.row_number().over(order)).withColumn("exact_end", following)
     joined = numbered.join(tapes.select("tape_id", "duration_s"), "tape_id")
     return joined.select("tape_id", "clip_no", F.col("cut_t").alias("start_t"), F.coalesce("exact_end", "duration_s").alias("end_t"), F.when(F.col("clip_no") > 1, F.col("cut_t")).alias("exact_start"), "exact_end", "boundary_id")
 

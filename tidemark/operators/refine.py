@@ -152,7 +152,8 @@ def long_policy(windows: DataFrame, read: Reader, settings: Settings = DEFAULTS)
     dense = spans.select(*KEY, *_CARRIED, "last", F.explode(F.sequence("__low", "__high")).alias("t"))
     unread = ((F.col("t") - F.col("lo")) % _step() != 0) | (F.col("t") > F.col("last"))
     fine = judged(read(dense.where(unread).drop("last")), settings)
-    own = with_transition(coarse.unionByName(fine)).withColumns({"upper": F.col("first_new"), "upper_dt": F.col("new_dt")})
+    # Dealt out anew: both sides are by boundary already, but their partitions need not match once they were coalesced.
+    own = with_transition(coarse.unionByName(fine).repartition(*KEY)).withColumns({"upper": F.col("first_new"), "upper_dt": F.col("new_dt")})
     return _result(
         _gap(own),
         (changed, placed(), "ocr", F.lit("")),

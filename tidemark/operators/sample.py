@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions import parse
+from tidemark.functions.values import bottom_band
 
 
 #: The order of a tape's dated rows as SQL has it: by_time()'s.
@@ -102,6 +105,21 @@ def calibration_yield(readings: DataFrame, settings: Settings = DEFAULTS) -> Dat
     return parsed(readings, settings).groupBy("tape_id").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).withColumn("share", F.col("hits") / F.greatest(F.lit(1), F.col("n")))
 
 
+def calibrate(tapes: DataFrame, read: Callable[[DataFrame], DataFrame], settings: Settings = DEFAULTS) -> DataFrame:
+    """(tape_id, crop, n, hits, share, probed) of tapes (tape_id, duration_s, width, height): the crop of each tape's clock, and how well sampled frames are read with it.
+
+    The crop follows from the frame's size, whatever the yield; a tape whose size is unknown gets the default crop
+    without a yield. read answers requests (tape_id, t, crop) with raw, null where no frame could be had: those don't count.
+    """
+    probed = F.col("width").isNotNull() & F.col("height").isNotNull()
+    crops = tapes.select("tape_id", "duration_s", probed.alias("probed"), F.when(probed, bottom_band(F.col("width"), F.col("height"))).otherwise(settings.crop).alias("crop"))
+    asked = calibration_times(crops.where("probed").select("tape_id", "duration_s"), settings).join(crops.select("tape_id", "crop"), "tape_id")
+    found = calibration_yield(read(asked.select("tape_id", "t", "crop")).where("raw IS NOT NULL").select("tape_id", "raw"), settings)
+    out = crops.join(found, "tape_id", "left")
+    none = lambda c, zero: F.when(F.col("probed"), F.coalesce(c, F.lit(zero))).alias(c)
+    return out.select("tape_id", "crop", none("n", 0), none("hits", 0), none("share", 0.0), "probed")
+
+
 def calibration_times(tapes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(tape_id, k, t): evenly spaced interior positions of tapes (tape_id, duration_s)."""
     n = settings.calibration_samples

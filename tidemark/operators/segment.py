@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULTS, Settings
 from tidemark.functions.values import seconds
 from tidemark.operators.sample import by_time
+from tidemark.sources.shared import written
 
 
 def boundaries(filtered: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -67,7 +68,7 @@ def merge_short(cuts: DataFrame, least: float) -> DataFrame:
     kind = cuts.select("cut_t", "boundary_id").schema
     item = F.struct(F.coalesce("boundary_id", F.lit(-1)).alias("o"), "cut_t", "boundary_id")
     row = f"array<struct<cut_t: {kind['cut_t'].dataType.simpleString()}, boundary_id: bigint>>"
-    per_tape = cuts.groupBy("tape_id").agg(F.array_sort(F.collect_list(item)).alias("cuts"))
+    per_tape = cuts.repartition("tape_id").groupBy("tape_id").agg(F.array_sort(F.collect_list(item)).alias("cuts"))
     kept = F.aggregate(
         "cuts",
         F.array().cast(row),
@@ -81,9 +82,46 @@ def suppress_orphans(cuts: DataFrame, settings: Settings = DEFAULTS) -> DataFram
 
     Pairs are taken from the left; in a chain of such neighbours all go, but the last of an odd number.
     """
-    order = Window.partitionBy("tape_id").orderBy("cut_t")
-    linked = F.col("garbled") & F.lag("garbled").over(order) & (F.col("cut_t") - F.lag("cut_t").over(order) < settings.orphan_gap)
-    marked = cuts.withColumn("__link", F.coalesce(linked, F.lit(False))).withColumn("__chain", F.count(F.when(~F.col("__link"), 1)).over(order))
+    return _without_pairs(cuts, ["cut_t"], settings).where("NOT __paired").drop("__paired")
+
+
+def _without_pairs(cuts: DataFrame, order: list[str], settings: Settings, second: bool = False) -> DataFrame:
+    """cuts with __paired: whether a pair of neighbours in the order takes the cut away; second asks for __second: whether as the later one."""
+    along = Window.partitionBy("tape_id").orderBy(*order)
+    linked = F.col("garbled") & F.lag("garbled").over(along) & (F.col("cut_t") - F.lag("cut_t").over(along) < settings.orphan_gap)
+    marked = cuts.withColumn("__link", F.coalesce(linked, F.lit(False))).withColumn("__chain", F.count(F.when(~F.col("__link"), 1)).over(along))
     chain = Window.partitionBy("tape_id", "__chain")
-    marked = marked.withColumn("__n", F.count("*").over(chain)).withColumn("__k", F.row_number().over(chain.orderBy("cut_t")))
-    return marked.where(F.col("__k") > 2 * F.floor(F.col("__n") / 2)).drop("__link", "__chain", "__n", "__k")
+    marked = marked.withColumn("__n", F.count("*").over(chain)).withColumn("__k", F.row_number().over(chain.orderBy(*order)))
+    marked = marked.withColumn("__paired", F.col("__k") <= 2 * F.floor(F.col("__n") / 2))
+    if second:
+        marked = marked.withColumn("__second", F.col("__paired") & (F.col("__k") % 2 == 0))
+    return marked.drop("__link", "__chain", "__n", "__k")
+
+
+def suppress_listed_orphans(cuts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Of cuts (tape_id, boundary_id, cut_t, garbled, …) in the order of their boundaries, which may coincide or go back, those that no pair takes away.
+
+    A position is garbled if one of its boundaries is. Pairs are taken along the list, also of coinciding cuts; from
+    then on a position that a pair took is garbled no more, wherever it comes again. That is repeated until no pair is
+    left: mostly once, since cuts in order leave none behind.
+    """
+    at = Window.partitionBy("tape_id", "cut_t")
+    before = at.orderBy("boundary_id").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("tape_id").orderBy("boundary_id")
+    cuts = cuts.withColumn("__g", F.max("garbled").over(at))
+    while True:
+        own = cuts.withColumn("garbled", F.col("__g"))
+        while True:
+            own = _without_pairs(own, ["boundary_id"], settings, second=True)
+            # Taken before: by an earlier pair, not by the one that this cut is the second of.
+            with_last = F.col("__second") & F.coalesce(F.lag("cut_t").over(along) == F.col("cut_t"), F.lit(False))
+            earlier = F.when(with_last, F.max("__paired").over(before.rowsBetween(Window.unboundedPreceding, -2))).otherwise(F.max("__paired").over(before))
+            own = written(own.withColumn("__now", F.col("__g") & ~F.coalesce(earlier, F.lit(False))), "orphans")
+            # What an earlier pair takes changes only what comes behind it, so marks settle from the front.
+            if own.where("__now <> garbled").isEmpty():
+                break
+            own = own.withColumn("garbled", F.col("__now")).drop("__paired", "__second", "__now")
+        if own.where("__paired").isEmpty():
+            return own.drop("__g", "__paired", "__second", "__now")
+        taken = F.max("__paired").over(at)
+        cuts = own.withColumn("__g", F.col("__g") & ~taken).where("NOT __paired").drop("__paired", "__second", "__now")

@@ -237,6 +237,7 @@ def merge_short(cuts: DataFrame, least: float, settings: Settings = DEFAULTS, bl
     """
     kept = [c for c in cuts.columns]
     own = cuts.withColumns({"__o": F.coalesce("boundary_id", F.lit(-1)), "__c": F.floor(F.coalesce("boundary_id", F.lit(-1)) / block)})
+    own = own.repartition("tape_id", "__c")
     inner = Window.partitionBy("tape_id", "__c").orderBy("__o", "cut_t").rowsBetween(Window.unboundedPreceding, -1)
     highest = own.groupBy("tape_id", "__c").agg(F.max("cut_t").alias("__h"))
     over = written(highest.withColumn("__h", F.max("__h").over(Window.partitionBy("tape_id").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))), "highest")

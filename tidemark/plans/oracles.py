@@ -12,8 +12,8 @@ def _cte(name: str, needs: str, sql: str) -> None:
     _C[name] = tuple(needs.split()), sql
 
 
-def _sql(final: str, needs: str) -> str:
-    """final after all expressions that it needs, in their order."""
+def _sql(final: str, needs: str, **instead: str) -> str:
+    """final after all expressions that it needs, in their order; some of them may be given instead."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -24,7 +24,7 @@ def _sql(final: str, needs: str) -> str:
 
     for n in needs.split():
         add(n)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_C[n][1]})" for n in order) + "\n" + final
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({instead.get(n, _C[n][1])})" for n in order) + "\n" + final
 
 
 # --- text ---
@@ -70,7 +70,8 @@ def _secs(a: str, b: str) -> str:
 _cte("ev", "", "SELECT CAST(user_id // 30 AS VARCHAR) AS tape_id, event_type, ts, row_number() OVER (PARTITION BY user_id // 30 ORDER BY ts, event_id) AS rn FROM events")
 _cte("ev1", "ev", "SELECT *, year(ts) - 34 AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, CASE WHEN rn % 53 = 0 THEN 'hour' WHEN rn % 97 = 0 THEN 'island' WHEN rn % 89 IN (0, 1) THEN 'digit' WHEN rn % 83 IN (0, 1) THEN 'month' WHEN rn % 79 IN (0, 1) THEN 'year' ELSE '' END AS rule FROM ev")
 _cte("ev2", "ev1", "SELECT tape_id, rn, event_type, mi, CASE rule WHEN 'hour' THEN (h + 11) % 24 ELSE h END AS h, CASE rule WHEN 'island' THEN y + 9 WHEN 'year' THEN y + 1 ELSE y END AS y, CASE WHEN rule = 'digit' AND d >= 10 THEN d % 10 ELSE d END AS d, CASE WHEN rule = 'month' AND mo = 1 THEN 5 ELSE mo END AS mo FROM ev1")
-_cte("smp", "ev2", "SELECT tape_id, rn, CAST(rn * 10.0 AS DOUBLE) AS video_t, event_type, CASE WHEN event_type <> 'error' THEN (CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END) || ':' || lpad(CAST(mi AS VARCHAR), 2, '0') || CASE WHEN h >= 12 THEN ' PM' ELSE ' AM' END || CASE WHEN event_type = 'signup' THEN '' ELSE ' ' || mo || '/ ' || d || '/' || lpad(CAST(y - 1900 AS VARCHAR), 2, '0') END END AS raw FROM ev2")
+_cte("smp0", "ev2", "SELECT tape_id, rn, CAST(rn * 10.0 AS DOUBLE) AS video_t, event_type, CASE WHEN event_type <> 'error' THEN (CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END) || ':' || lpad(CAST(mi AS VARCHAR), 2, '0') || CASE WHEN h >= 12 THEN ' PM' ELSE ' AM' END || CASE WHEN event_type = 'signup' THEN '' ELSE ' ' || mo || '/ ' || d || '/' || lpad(CAST(y - 1900 AS VARCHAR), 2, '0') END END AS raw FROM ev2")
+_cte("smp", "smp0", "SELECT * FROM smp0")
 _cte("tapes", "ev", "SELECT tape_id, CAST(max(rn) * 10.0 + 10.0 AS DOUBLE) AS duration_s, CAST(CAST(tape_id AS INT) * 40 + 160 AS INT) AS width, CAST(CAST(tape_id AS INT) * 30 + 40 AS INT) AS height FROM ev GROUP BY tape_id")
 _cte("vis", "ev", "SELECT tape_id, CAST(rn * 10.0 - CASE WHEN event_type = 'click' THEN 2.5 ELSE 4.25 END AS DOUBLE) AS t, CASE WHEN event_type = 'click' THEN 'scene' ELSE 'black' END AS kind FROM ev WHERE event_type IN ('click', 'purchase')")
 _cte("pk", "ev", "SELECT tape_id, CAST(rn * 10.0 - 4.5 AS DOUBLE) AS pts, CASE WHEN rn % 3 = 0 THEN 'K_' ELSE '__' END AS flags FROM ev WHERE rn % 31 <> 0")
@@ -78,7 +79,8 @@ _FRAMES = """SELECT tape_id, i AS frame_idx, CASE WHEN i % 7 = 0 OR ({first} AND
 FROM (SELECT *, CAST((rn - 1) * 3 + k AS INT) AS i FROM smp, unnest([0, 1, 2]) AS g(k)) WHERE {first} OR NOT (CAST(tape_id AS INT) % 4 = 3 AND i = 0)"""
 _cte("fr1", "smp", _FRAMES.format(first="true"))
 _cte("fr2", "smp", _FRAMES.format(first="false"))
-_cte("rd", "smp", "SELECT tape_id, CAST(rn * 10 + k AS INT) AS t, CASE WHEN (rn * 10 + k) % 10 >= 6 THEN '' WHEN (rn * 10 + k) % 13 = 0 THEN coalesce(regexp_replace(regexp_replace(raw, '[AP]M ', '#', 'g'), '/ ', '//', 'g'), '') ELSE coalesce(raw, '') END AS raw FROM smp, unnest(range(10)) AS g(k)")
+_cte("rd0", "smp0", "SELECT tape_id, CAST(rn * 10 + k AS INT) AS t, CASE WHEN (rn * 10 + k) % 10 >= 6 THEN '' WHEN (rn * 10 + k) % 13 = 0 THEN coalesce(regexp_replace(regexp_replace(raw, '[AP]M ', '#', 'g'), '/ ', '//', 'g'), '') ELSE coalesce(raw, '') END AS raw FROM smp0, unnest(range(10)) AS g(k)")
+_cte("rd", "rd0", "SELECT * FROM rd0")
 
 # --- samples ---
 
@@ -202,6 +204,7 @@ def _class(raw: str, old: str, new: str) -> str:
 
 _cte("win", "bnd", f"SELECT *, CAST(floor(prev_t) AS INT) + 1 AS lo, CAST(floor(video_t) AS INT) + {DEFAULTS.interval} - 1 AS hi, video_t - prev_t AS span FROM bnd WHERE type = 'large_gap'")
 _cte("rdp", "rd", _parsed("rd", "raw", "tape_id, t, raw"))
+_cte("rdm", "rd", _parsed("rd", "raw", "tape_id, t, raw"))
 _cte("dense", "win rdp", "SELECT w.*, q.t, coalesce(r.raw, '') AS raw, r.cam_ts FROM (SELECT *, CAST(unnest(range(lo, hi + 1)) AS INT) AS t FROM win) q JOIN win w USING (tape_id, boundary_id) LEFT JOIN rdp r ON r.tape_id = q.tape_id AND r.t = q.t")
 _cte("side", "dense", f"SELECT *, CASE WHEN cam_ts IS NOT NULL THEN CASE WHEN ({_secs('prev_dt', 'cam_ts')} > t - prev_t + {DEFAULTS.large_gap} OR {_secs('prev_dt', 'cam_ts')} < {DEFAULTS.backward}) AND coalesce(CAST(cam_ts AS DATE) = CAST(cam_after AS DATE), true) THEN 'new' ELSE 'old' END END AS side FROM dense")
 
@@ -244,6 +247,33 @@ _cte("etrue", "zone ekey erd", "SELECT tape_id, coarse_t, CAST(min(r.t) AS DOUBL
 _cte("ecut", "zone ecl", f"SELECT z.tape_id, z.coarse_t, arg_min(c.start_t, (abs(c.start_t - z.coarse_t), c.clip_no)) AS pipeline_cut FROM zone z JOIN ecl c ON c.tape_id = z.tape_id AND contains(c.name, strftime(z.new_dt, '%Y-%m-%d')) AND abs(c.start_t - z.coarse_t) < {DEFAULTS.eval_cut_distance} GROUP BY ALL")
 _cte("eres", "zone etrue ecut", "SELECT tape_id, boundary_idx, coarse_t, none_span_s, old_dt, new_dt, true_change, pipeline_cut, abs(pipeline_cut - true_change) AS placement_error_s, abs(coarse_t - true_change) AS coarse_error_s FROM zone JOIN etrue USING (tape_id, coarse_t) LEFT JOIN ecut USING (tape_id, coarse_t)")
 
+# --- bisection: a zone's state, halved until it is narrow, then its seconds in order ---
+
+_cte("lab", "rd", f"SELECT tape_id, t, coalesce(CAST(CAST({_eval_date('raw')} AS DATE) AS VARCHAR), CASE WHEN raw = '' THEN 'NONE' ELSE 'NOISE' END) AS label FROM rd")
+_NEW = "coalesce(label NOT IN ('NOISE', 'NONE') AND label <> old, false)"
+_cte("bis", "zone lab", f"""SELECT tape_id, coarse_t, greatest(0.0, coarse_t - 60)::DOUBLE AS lo, (coarse_t + 5)::DOUBLE AS hi, CAST(CAST(old_dt AS DATE) AS VARCHAR) AS old, 0::BIGINT AS calls FROM zone UNION ALL
+SELECT b.tape_id, coarse_t, CASE WHEN {_NEW} THEN lo ELSE (lo + hi) / 2 END, CASE WHEN {_NEW} THEN (lo + hi) / 2 ELSE hi END, old, calls + CASE WHEN label IS NULL THEN 0 ELSE 1 END FROM bis b LEFT JOIN lab l ON l.tape_id = b.tape_id AND l.t = floor((lo + hi) / 2) WHERE hi - lo > 2""")
+_cte("sweep", "bis lab", f"SELECT q.*, label, {_NEW} AS is_new FROM (SELECT *, lo + unnest(range(CAST(floor(hi - lo) AS BIGINT) + 2)) AS t FROM bis WHERE hi - lo <= 2) q LEFT JOIN lab l ON l.tape_id = q.tape_id AND l.t = floor(q.t) WHERE q.t <= hi")
+_cte("change", "sweep", "SELECT tape_id, coarse_t, min(t) FILTER (is_new) AS first_new FROM sweep GROUP BY ALL")
+
+# --- clock models ---
+
+_EPOCH = "date_diff('second', TIMESTAMP '1970-01-01', {0})"
+_cte("sgm", "flt bnd", "SELECT f.tape_id, f.video_t, f.cam_ts, coalesce(max(b.boundary_id), 0)::BIGINT AS segment FROM flt f LEFT JOIN bnd b ON b.tape_id = f.tape_id AND b.type = 'large_gap' AND b.video_t <= f.video_t GROUP BY ALL")
+_cte("sg1", "sgm", f"SELECT tape_id, segment, min(video_t) AS t0, arg_min({_EPOCH.format('cam_ts')}, video_t) AS c0 FROM sgm GROUP BY ALL")
+_cte("sg2", "sgm sg1", f"SELECT tape_id, segment, t0, c0, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM (SELECT *, video_t - t0 AS x, CAST({_EPOCH.format('cam_ts')} - c0 AS DOUBLE) AS y FROM sgm JOIN sg1 USING (tape_id, segment)) GROUP BY ALL")
+_cte("sg3", "sg2", "SELECT *, CASE WHEN n >= 5 AND n * sxx - sx * sx > 0 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS slope FROM sg2")
+_cte("mdl", "sg3", "SELECT tape_id, segment, n, t0, c0, slope, (sy - slope * sx) / n AS intercept FROM sg3")
+_cte("gap", "smp sgm", "SELECT s.tape_id, s.video_t, max(b.video_t) AS ba, arg_max(b.segment, b.video_t) AS bs, (SELECT min(a.video_t) FROM sgm a WHERE a.tape_id = s.tape_id AND a.video_t > s.video_t) AS aa, (SELECT arg_min(a.segment, a.video_t) FROM sgm a WHERE a.tape_id = s.tape_id AND a.video_t > s.video_t) AS sa FROM smp s JOIN sgm b ON b.tape_id = s.tape_id AND b.video_t < s.video_t WHERE (s.tape_id, s.video_t) NOT IN (SELECT (tape_id, video_t) FROM sgm) GROUP BY ALL")
+
+# --- streams: the rules that look ahead by a bounded number of readings ---
+
+for _part in ("o_n", "o_near", "o_bridge", "flt", "b0", "b1", "bnd"):
+    _needs, _text = _C[_part]
+    for _other in ("o_bridge", "o_near", "o_n", "flt", "bnd", "b0", "b1"):
+        _text = _text.replace(f"FROM {_other} ", f"FROM st_{_other} ").replace(f"FROM {_other})", f"FROM st_{_other})").replace(f"JOIN {_other} ", f"JOIN st_{_other} ")
+    _cte(f"st_{_part}", " ".join("s1" if x == "s4" else f"st_{x}" for x in _needs), _text.replace("FROM s4 ", "FROM s1 "))
+
 # --- key frames ---
 
 _KEYS = "SELECT c.tape_id, c.cut_t, {agg}(p.pts) AS k FROM {cuts} c LEFT JOIN pk p ON p.tape_id = c.tape_id AND p.flags LIKE '%K%' AND p.pts {test} GROUP BY ALL"
@@ -258,6 +288,8 @@ _cte("snp", "bnd vis", f"""SELECT b.tape_id, b.boundary_id, b.video_t AS cut_t,
 _LOW = "greatest(greatest(0.0, cut_t - 20), cut_t - {0}, prev_t)"
 _cte("snp2", "snp", f"SELECT *, CASE WHEN be >= {_LOW.format(3.0)} AND af <= cut_t + 2.0 AND af - be <= 6.0 THEN af WHEN be >= {_LOW.format(0.5)} THEN be END AS dest FROM snp")
 
+_REFINED = "SELECT tape_id, boundary_id, CASE way WHEN 1 THEN place WHEN 2 THEN CASE WHEN upper IS NOT NULL THEN place ELSE last_old + 1 END WHEN 4 THEN before ELSE video_t END AS cut_t, CASE way WHEN 1 THEN 'ocr' WHEN 2 THEN 'ocr' WHEN 4 THEN 'visual' ELSE 'coarse' END AS method, CASE way WHEN 1 THEN '' WHEN 2 THEN 'garbled-boundary' WHEN 3 THEN 'all-old-in-window' WHEN 4 THEN '' WHEN 5 THEN 'SDZ ' || CAST(span AS INT) || 's no-anchor' ELSE 'LDZ ' || CAST(span AS INT) || 's' END AS detail FROM fin"
+
 SQL: dict[str, str] = {
     "src_tapes": _sql("SELECT * FROM tapes", "tapes"),
     "src_samples": _sql("SELECT tape_id, video_t, raw FROM smp", "smp"),
@@ -280,6 +312,12 @@ SQL: dict[str, str] = {
     "fill_time_only": _sql("SELECT * FROM s0", "s0"),
     "sample_counts": _sql("SELECT tape_id, count(*) AS n, count(cam_ts) AS n_dated, CAST(arg_min(cam_ts, video_t) FILTER (cam_ts IS NOT NULL) AS DATE) AS first_date, CAST(arg_max(cam_ts, video_t) FILTER (cam_ts IS NOT NULL) AS DATE) AS last_date FROM s0 GROUP BY tape_id", "s0"),
     "calibration": _sql("SELECT tape_id, count(*) AS n, count(*) FILTER (cam_ts IS NOT NULL OR minute IS NOT NULL) AS hits, count(*) FILTER (cam_ts IS NOT NULL OR minute IS NOT NULL) / greatest(1, count(*)) AS share FROM par WHERE raw IS NOT NULL GROUP BY tape_id", "par"),
+    "calibrate": _sql(
+        f"""SELECT t.tape_id, CASE WHEN probed THEN crop ELSE '560:130:40:350' END AS crop, CASE WHEN probed THEN coalesce(n, 0) END AS n, CASE WHEN probed THEN coalesce(hits, 0) END AS hits, CASE WHEN probed THEN coalesce(hits / greatest(1, n), 0.0) END AS share, probed
+FROM (SELECT *, CAST(tape_id AS INT) % 7 > 1 AS probed, w || ':' || h || ':' || greatest(0, least(CAST(round_even(width * 40 / 640, 0) AS INT), width - w)) || ':' || (height - h) AS crop FROM (SELECT *, greatest(100, CAST(round_even(width * 560 / 640, 0) AS INT)) AS w, greatest(60, CAST(round_even(height * 130 / 480, 0) AS INT)) AS h FROM tapes)) t
+LEFT JOIN (SELECT q.tape_id, count(*) AS n, count(*) FILTER (cam_ts IS NOT NULL OR minute IS NOT NULL) AS hits FROM (SELECT tape_id, duration_s / 21 * unnest(range(1, 21)) AS t FROM tapes) q JOIN rdm r ON r.tape_id = q.tape_id AND r.t = floor(q.t) GROUP BY 1) y ON y.tape_id = t.tape_id""",
+        "tapes rdm",
+    ),
     "calibration_times": _sql("SELECT tape_id, CAST(k AS INT) AS k, duration_s / 21 * k AS t FROM tapes, unnest(range(1, 21)) AS g(k)", "tapes"),
     "drop_date_islands": _sql("SELECT * FROM s1", "s1"),
     "drop_year_runs": _sql("SELECT * FROM s2", "s2"),
@@ -302,7 +340,8 @@ SELECT *, coalesce(g AND lag(g) OVER w AND cut_t - lag(cut_t) OVER w < {DEFAULTS
     "merge_short_walk": _sql("SELECT tape_id, cut_t, boundary_id FROM m_scene", "m_scene"),
     "same_date_neighbours": _sql("SELECT tape_id, clip_no, label, previous_s, duration_s FROM (SELECT *, end_t - start_t AS duration_s, lag(end_t - start_t) OVER w AS previous_s, lag(label) OVER w AS p FROM clips_raw WINDOW w AS (PARTITION BY tape_id ORDER BY clip_no)) WHERE p = label", "clips_raw"),
     "transitions": _sql("SELECT tape_id, boundary_id, any_ocr, last_old, first_new, new_dt FROM tr", "tr"),
-    "refine_session": _sql("SELECT tape_id, boundary_id, CASE way WHEN 1 THEN place WHEN 2 THEN CASE WHEN upper IS NOT NULL THEN place ELSE last_old + 1 END WHEN 4 THEN before ELSE video_t END AS cut_t, CASE way WHEN 1 THEN 'ocr' WHEN 2 THEN 'ocr' WHEN 4 THEN 'visual' ELSE 'coarse' END AS method, CASE way WHEN 1 THEN '' WHEN 2 THEN 'garbled-boundary' WHEN 3 THEN 'all-old-in-window' WHEN 4 THEN '' WHEN 5 THEN 'SDZ ' || CAST(span AS INT) || 's no-anchor' ELSE 'LDZ ' || CAST(span AS INT) || 's' END AS detail FROM fin", "fin"),
+    "refine_session": _sql(_REFINED, "fin"),
+    "refine_long": _sql(_REFINED, "fin", smp="SELECT * EXCLUDE (raw), CASE WHEN rn % 211 NOT BETWEEN 60 AND 85 THEN raw END AS raw FROM smp0", rd="SELECT tape_id, t, CASE WHEN t // 2110 % 3 = 0 THEN '' ELSE raw END AS raw FROM rd0"),
     "scene_snap": _sql("SELECT tape_id, boundary_id, cut_t, prev_t, coalesce(dest, cut_t) AS snapped_t, dest - cut_t AS snap_offset FROM snp2", "snp2"),
     "keyframe_before": _sql(f"SELECT tape_id, cut_t, greatest(k, 0.0, cut_t - {DEFAULTS.look_back}) AS key_t FROM kb", "kb"),
     "keyframe_after": _sql("SELECT tape_id, cut_t, coalesce(k, cut_t) AS key_t FROM ka", "ka"),
@@ -310,6 +349,11 @@ SELECT *, coalesce(g AND lag(g) OVER w AND cut_t - lag(cut_t) OVER w < {DEFAULTS
     "dead_zones": _sql("SELECT * EXCLUDE (boundary_idx) FROM zone", "zone"),
     "clip_start_times": _sql("SELECT * FROM ecl", "ecl"),
     "eval_results": _sql("SELECT * FROM eres", "eres"),
+    "find_true_change": _sql("SELECT tape_id, coarse_t, coalesce(first_new, hi) AS true_change, CAST(b.calls + (SELECT count(label) FROM sweep s WHERE s.tape_id = b.tape_id AND s.coarse_t = b.coarse_t AND s.t <= coalesce(first_new, s.t)) AS BIGINT) AS calls FROM bis b JOIN change USING (tape_id, coarse_t) WHERE hi - lo <= 2", "change"),
+    "segment_models": _sql("SELECT * FROM mdl", "mdl"),
+    "model_outliers": _sql(f"SELECT s.tape_id, s.segment, s.video_t, s.cam_ts FROM sgm s JOIN mdl m USING (tape_id, segment) WHERE coalesce(abs({_EPOCH.format('cam_ts')} - (c0 + slope * (video_t - t0) + intercept)) <= 300, true)", "mdl"),
+    "model_predictions": _sql("SELECT g.tape_id, video_t, bs AS segment, TIMESTAMP '1970-01-01' + to_seconds(CAST(floor(c0 + slope * (video_t - t0) + intercept) AS BIGINT)) AS cam_ts, 'model' AS source FROM gap g JOIN mdl m ON m.tape_id = g.tape_id AND m.segment = g.bs WHERE bs = sa AND aa - ba <= 120 AND slope IS NOT NULL", "gap mdl"),
+    "stream_boundaries": _sql("SELECT tape_id, boundary_id, video_t, type, cam_before, cam_after, cam_jump_s, prev_t FROM st_bnd", "st_bnd"),
     "sink_eval_json": _sql(
         "SELECT tape_id, count(*) AS listed, min(boundary_idx) AS first_idx, max(coarse_t) AS last_t, count(*) AS count, median(placement_error_s) AS pipeline_median_error_s, median(coarse_error_s) AS coarse_median_error_s FROM eres GROUP BY tape_id", "eres"
     ),

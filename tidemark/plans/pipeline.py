@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, Settings
@@ -59,10 +59,12 @@ def run(samples: DataFrame, tapes: DataFrame, read: refine.Reader, events: DataF
         refined = refine.snap(refined.join(chosen.select("tape_id", "boundary_id", "prev_t"), ["tape_id", "boundary_id"]), scene_cuts, settings)
         moved = F.col("snap_offset") != 0
         refined = refined.withColumn("cut_t", F.when(moved, F.col("snapped_t")).otherwise(F.col("cut_t"))).withColumn("method", F.when(moved, "snap").otherwise(F.col("method"))).select("tape_id", "boundary_id", "cut_t", "method", "detail")
-    # Of boundaries refined to one position the last stands for it.
-    last = Window.partitionBy("tape_id", "cut_t").orderBy(F.desc("boundary_id"))
-    marked = refined.withColumn("__k", F.row_number().over(last)).where("__k = 1").select("tape_id", "cut_t", "boundary_id", (F.col("detail") == "garbled-boundary").alias("garbled"))
-    kept = segment.suppress_orphans(marked, settings).select("tape_id", "cut_t", "boundary_id")
+    refined = written(refined, "refined")
+    marked = refined.select("tape_id", "boundary_id", "cut_t", (F.col("detail") == "garbled-boundary").alias("garbled"))
+    kept = segment.suppress_listed_orphans(marked, settings).select("tape_id", "cut_t", "boundary_id")
     starts = tapes.select("tape_id", F.lit(0.0).alias("cut_t"), F.lit(None).cast("bigint").alias("boundary_id"))
     cuts = segment.merge_short(starts.unionByName(kept), settings.clip_floor())
+    # Of boundaries refined to one position the last stands for it.
+    last = refined.groupBy("tape_id", "cut_t").agg(F.max("boundary_id").alias("boundary_id"))
+    cuts = cuts.select("tape_id", "cut_t").join(last, ["tape_id", "cut_t"], "left")
     return Result(filtered, found, label.labelled(label.clip_bounds(cuts, tapes), filtered, found, settings.mode, settings), refined)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS
 from tidemark.functions import parse, values
-from tidemark.operators import clean, cutplan, evaluate, label, refine, sample, segment, tiles
+from tidemark.operators import clean, cutplan, evaluate, label, model, refine, sample, segment, tiles
 from tidemark.plans import pipeline
 from tidemark.sources import caches, shared, tables
+from tidemark.streaming import tapes as streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,6 +213,16 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.calibration_yield(tables.samples(spark, sf_dir).where("raw IS NOT NULL"))
 
 
+@_query
+def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops and yields of all tapes, two in seven of which can't be probed; frames are the readings of the samples' seconds."""
+    size = lambda c: F.when(F.col("tape_id").cast("int") % 7 > 1, F.col(c)).alias(c)
+    tapes = tables.tapes(spark, sf_dir).select("tape_id", "duration_s", size("width"), size("height"))
+    frames = tables.readings(spark, sf_dir).select("tape_id", F.col("t").alias("__s"), "raw")
+    read = lambda asked: asked.withColumn("__s", F.floor("t").cast("int")).join(frames, ["tape_id", "__s"], "left")
+    return sample.calibrate(tapes, read)
+
+
 @_query
 def calibration_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.calibration_times(tables.tapes(spark, sf_dir))
@@ -351,6 +362,23 @@ def refine_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.refine(chosen, refine.reader_of(tables.readings(spark, sf_dir)), tables.visual_events(spark, sf_dir).select("tape_id", "t"))
 
 
+def _with_dead_zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Samples of which 26 in a row are unreadable again and again, and readings of each second, of which one stretch in three has none."""
+    rn = F.col("rn")
+    s = tables.samples(spark, sf_dir).withColumn("raw", F.when(~(rn % 211).between(60, 85), F.col("raw"))).select("tape_id", "video_t", "raw")
+    r = tables.readings(spark, sf_dir).withColumn("raw", F.when(F.floor(F.col("t") / 2110) % 3 == 0, "").otherwise(F.col("raw")))
+    return s, r
+
+
+@_query
+def refine_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries across dead zones of minutes: a coarse pass, and a dense one where it asks for it."""
+    s, r = _with_dead_zones(spark, sf_dir)
+    filled = sample.fill_time_only(sample.parsed(s)).select("tape_id", "video_t", "cam_ts")
+    found = segment.boundaries(shared.written(clean.clean(filled), "filtered"))
+    return refine.refine(segment.chosen(found, "session"), refine.reader_of(r), tables.visual_events(spark, sf_dir).select("tape_id", "t"))
+
+
 @_query
 def scene_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = _boundaries(spark, sf_dir).select("tape_id", "boundary_id", F.col("video_t").alias("cut_t"), "prev_t")
@@ -424,6 +452,58 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.results(zones, _eval_clips(spark, sf_dir), _eval_readings(spark, sf_dir, zones))
 
 
+@_query
+def find_true_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change of date around each dead zone by bisection, all zones at once; labels are the dates that readings show."""
+    zones = shared.written(_zones(spark, sf_dir), "zones")
+    date = lambda c: F.to_date(c).cast("string")
+    t = F.col("coarse_t")
+    own = zones.select("tape_id", t.cast("bigint").alias("boundary_id"), "coarse_t", F.greatest(F.lit(0.0), t - DEFAULTS.search_before).alias("lo"), (t + DEFAULTS.search_behind).alias("hi"), date("old_dt").alias("old"))
+    labels = tables.readings(spark, sf_dir).select("tape_id", "t", F.coalesce(date(parse.eval_date(F.col("raw"))), F.when(F.col("raw") == "", "NONE").otherwise("NOISE")).alias("label"))
+    return evaluate.bisected(own, evaluate.labels_of(labels)).select("tape_id", "coarse_t", "true_change", "calls")
+
+
+# --- clock models ---
+
+
+def _modelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    filtered = _filtered(spark, sf_dir)
+    found = segment.chosen(segment.boundaries(filtered), "session")
+    readings = shared.written(model.segmented(filtered, found), "segmented")
+    return readings, shared.written(model.models(readings), "models")
+
+
+@_query
+def segment_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modelled(spark, sf_dir)[1]
+
+
+@_query
+def model_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.drop_misfits(*_modelled(spark, sf_dir))
+
+
+@_query
+def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.predictions(tables.samples(spark, sf_dir), *_modelled(spark, sf_dir))
+
+
+# --- streams ---
+
+
+@_query
+def stream_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of the samples, streamed: those that islands and outliers leave."""
+    path = shared.fresh_path(spark, "stream")
+    s, t = tables.samples(spark, sf_dir), tables.tapes(spark, sf_dir).select("tape_id", "duration_s")
+    ending = s.join(t, "tape_id").withColumn("duration_s", F.when(F.col("video_t") == F.col("duration_s") - 10.0, F.col("duration_s")))
+    ending.select("tape_id", "video_t", "raw", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrived"), "duration_s").write.parquet(f"{path}/in")
+    stream = sample.parsed(spark.readStream.schema("tape_id STRING, video_t DOUBLE, raw STRING, arrived TIMESTAMP, duration_s DOUBLE").parquet(f"{path}/in"))
+    query = streamed.boundaries(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(streamed.OUTPUT).parquet(f"{path}/out").where("type <> 'end'")
+
+
 @_query
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(eval_results(spark, sf_dir))
