@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.config import DEFAULTS
 from tidemark.operators import evaluate, refine
 from tidemark.plans import pipeline
-from tidemark.sources import caches
+from tidemark.sources import caches, store
 
 #: The columns that each table is read with.
 SCHEMAS = {
@@ -55,7 +55,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    """Runs a command in spark, or in a session of its own. What is in the output folder already is an error."""
+    """Runs a command in spark, or in a session of its own. split replaces what an earlier run wrote of the same tapes; results of other tapes stay."""
     parser = _parser()
     given = parser.parse_args(argv)
     if given.command == "split" and given.fuse and not given.events:
@@ -72,11 +72,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         settings = dataclasses.replace(DEFAULTS, mode=given.mode)
         if given.readings:
             result = pipeline.run(table("samples"), table("tapes"), refine.reader_of(table("readings")), table("events"), table("scene_cuts"), given.fuse, settings)
-            result.refined.write.parquet(f"{given.out}/refined")
+            store.write_by_tape(result.refined, f"{given.out}/refined", table("tapes"))
         else:
             result = pipeline.dry_run(table("samples"), table("tapes"), settings)
-        result.clips.write.parquet(f"{given.out}/clips")
-        result.boundaries.write.parquet(f"{given.out}/boundaries")
+        store.write_by_tape(result.clips, f"{given.out}/clips", table("tapes"))
+        store.write_by_tape(result.boundaries, f"{given.out}/boundaries", table("tapes"))
     else:
         zones = evaluate.dead_zones(table("samples"))
         caches.write_results(evaluate.results(zones, evaluate.clip_starts(table("clips")), table("dense")), given.out)

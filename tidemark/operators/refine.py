@@ -162,14 +162,70 @@ def long_policy(windows: DataFrame, read: Reader, settings: Settings = DEFAULTS)
     )
 
 
-def refine(found: DataFrame, read: Reader, events: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """(tape_id, boundary_id, cut_t, method, detail) of boundaries: by the policy that their span asks for."""
+#: A policy: from windows, a reader, events or None, and settings to (tape_id, boundary_id, cut_t, method, detail).
+Policy = Callable[[DataFrame, Reader, DataFrame | None, Settings], DataFrame]
+POLICIES: dict[str, Policy] = {}
+
+
+def register_policy(name: str, policy: Policy) -> None:
+    """Makes a policy known by a name that refine takes; an earlier one of that name is replaced."""
+    POLICIES[name] = policy
+
+
+def coarse_policy(windows: DataFrame, read: Reader, events: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """The boundaries where they are, without any reading."""
+    return _result(windows, (F.lit(True), F.col("video_t"), "coarse", F.lit("")))
+
+
+register_policy("short", short_policy)
+register_policy("long", lambda windows, read, events, settings: long_policy(windows, read, settings))
+register_policy("coarse", coarse_policy)
+
+#: What a placement by a table function gets of each reading, in the order of t.
+PLACED = "tape_id STRING, boundary_id BIGINT, cut_t DOUBLE, method STRING, detail STRING"
+
+
+def placement(place: Callable[[list[dict]], tuple[float, str, str]]):
+    """A Python table function of judged readings, PARTITION BY (tape_id, boundary_id) ORDER BY t: one row for each boundary.
+
+    place gets a boundary's readings, as dicts of all columns in the order of t, and returns (cut_t, method, detail). It is for rules
+    that expressions can't state; a boundary's readings are the seconds of its window.
+    """
+
+    class Placement:
+        def __init__(self) -> None:
+            self.rows: list[dict] = []
+
+        def eval(self, row) -> None:
+            self.rows.append(row.asDict())
+
+        def terminate(self):
+            if self.rows:
+                cut, method, detail = place(self.rows)
+                yield self.rows[0]["tape_id"], self.rows[0]["boundary_id"], float(cut), method, detail
+
+    return F.udtf(Placement, returnType=PLACED)
+
+
+def placing_policy(place: Callable[[list[dict]], tuple[float, str, str]]) -> Policy:
+    """A policy that reads every second of a window and places the cut by a Python function; windows without a reading stay where they are."""
+    function = placement(place)
+
+    def policy(windows: DataFrame, read: Reader, events: DataFrame | None, settings: Settings) -> DataFrame:
+        own = judged(read(dense_requests(windows)), settings)
+        return function(own.asTable().partitionBy(*KEY).orderBy("t"))
+
+    return policy
+
+
+def refine(found: DataFrame, read: Reader, events: DataFrame | None = None, settings: Settings = DEFAULTS, short: str = "short", long: str = "long") -> DataFrame:
+    """(tape_id, boundary_id, cut_t, method, detail) of boundaries: by the policy that their span asks for, named short or long."""
     windows = windowed(found, settings)
     known, empty = F.col("prev_t").isNotNull() & F.col("prev_dt").isNotNull(), F.col("hi") < F.col("lo")
     unread = _result(windows.where(~known | empty), (~known, F.col("video_t"), "coarse", F.lit("no-prev")), (F.lit(True), F.col("video_t"), "coarse", F.lit("empty-window")))
     usable = windows.where(known & ~empty)
-    short = short_policy(usable.where(F.col("span") < settings.dead_zone), read, events, settings)
-    return unread.unionByName(short).unionByName(long_policy(usable.where(F.col("span") >= settings.dead_zone), read, settings))
+    placed_short = POLICIES[short](usable.where(F.col("span") < settings.dead_zone), read, events, settings)
+    return unread.unionByName(placed_short).unionByName(POLICIES[long](usable.where(F.col("span") >= settings.dead_zone), read, events, settings))
 
 
 def snap(refined: DataFrame, scene_cuts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -294,6 +294,9 @@ SQL: dict[str, str] = {
     "src_tapes": _sql("SELECT * FROM tapes", "tapes"),
     "src_samples": _sql("SELECT tape_id, video_t, raw FROM smp", "smp"),
     "src_sample_cache": _sql("SELECT tape_id, video_t, raw FROM smp", "smp"),
+    "src_ocr_program": _sql("SELECT tape_id, frame_idx, raw FROM fr1", "fr1"),
+    "store_samples": _sql("SELECT tape_id, video_t, raw FROM smp", "smp"),
+    "sink_clips": _sql("SELECT tape_id, clip_no, start_t, label FROM clips_daily", "clips_daily"),
     "src_visual_cache": _sql("SELECT * FROM vis", "vis"),
     "visual_log": _sql("SELECT * FROM vis", "vis"),
     "src_packets": _sql("SELECT * FROM pk", "pk"),

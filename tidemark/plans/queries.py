@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from tidemark.config import DEFAULTS
 from tidemark.functions import parse, values
 from tidemark.operators import clean, cutplan, evaluate, label, model, refine, sample, segment, tiles
 from tidemark.plans import pipeline
-from tidemark.sources import caches, shared, tables
+from tidemark.sources import caches, recogniser, shared, store, tables
 from tidemark.streaming import tapes as streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +124,39 @@ def src_clip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caches.clip_files(o.select("o_orderkey", F.concat(stem, F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("_"), F.col("o_orderdate").cast("date").cast("string"), F.lit(".mp4")).alias("path")))
 
 
+#: A recogniser for these tables: a path's text is what stands behind its first bar.
+ECHO = [sys.executable, "-u", "-c", "import sys\nfor line in sys.stdin:\n    print(line.rstrip('\\n') + '\\t' + line.rstrip('\\n').partition('|')[2])"]
+
+
+@_query
+def src_ocr_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of frames through an external program, a process for each task."""
+    f = tables.frames(spark, sf_dir)
+    return recogniser.recognised(f.select("tape_id", "frame_idx", F.concat("path", F.lit("|"), "raw").alias("path")), ECHO).select("tape_id", "frame_idx", "raw")
+
+
+@_query
+def store_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples through a store: half of the tapes are scanned in a first run, the others in a second one."""
+    path, tapes = shared.fresh_path(spark, "store"), tables.tapes(spark, sf_dir)
+    scan = lambda wanted: tables.samples(spark, sf_dir).join(wanted.select("tape_id"), "tape_id", "left_semi")
+    store.scanned(tapes.where(F.col("tape_id").cast("int") % 2 == 0), path, scan)
+    return store.scanned(tapes, path, scan)
+
+
+@_query
+def sink_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily clips written over scene clips of every third tape and of none else."""
+    path, third = shared.fresh_path(spark, "clips"), F.col("tape_id").cast("int") % 3 == 0
+    tapes = tables.tapes(spark, sf_dir)
+    daily = shared.written(_clips(spark, sf_dir, DEFAULTS).select("tape_id", "clip_no", "start_t", "label"), "daily-clips")
+    scene = label.clip_bounds(_cuts(spark, sf_dir, "scene"), tapes).select("tape_id", "clip_no", "start_t", F.lit("old").alias("label"))
+    store.write_by_tape(scene.where(third), path, tapes.where(third))
+    store.write_by_tape(daily.where(~third), path, tapes.where(~third))
+    store.write_by_tape(daily.where(third), path, tapes.where(third))
+    return store.by_tape(spark, path, "clip_no").select("tape_id", "clip_no", "start_t", "label")
+
+
 # --- functions ---
 
 
