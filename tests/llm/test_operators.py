@@ -197,6 +197,61 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.train(empty, own)).count() == 0
 
 
+#: Ways to hide every word of a text.
+DISGUISES = {
+    "plain": lambda w: w,
+    "spaced": " ".join,
+    "doubled": lambda w: "".join(c * 2 for c in w),
+    "dotted": ".".join,
+    "leet": lambda w: w.translate(str.maketrans("ioeast", "10345+")),
+    "pairs": lambda w: " ".join(w[k : k + 2] for k in range(0, len(w), 2)),
+    "widthless": "\u200b".join,
+    "full width": lambda w: "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in w),
+    "cyrillic": lambda w: w.translate(str.maketrans("aeopcxyij", "аеорсхуіј")),
+}
+
+
+def test_disguises_of_toxic_and_of_clean_texts(spark):
+    """Clean texts stay clean whatever all their words are disguised as, toxic ones are caught; held-out rows of the driver's documents."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    held = docs.join(labels.where("toxic IS NOT NULL"), "doc_id").where(toxicity._fold(F.col("doc_id")) == 2).select("text", "toxic").where("text IS NOT NULL").collect()
+    clean = [" ".join(r.text.lower().split()[:30]) for r in held if not r.toxic][:300]
+    toxic = [r.text.lower().split()[:400] for r in held if r.toxic]
+    toxic = [w for w, s in zip(toxic, model.scores([" ".join(w) for w in toxic])) if s >= 0.3]
+    assert len(clean) == 300 and len(toxic) > 60
+    for name, f in DISGUISES.items():
+        flagged = (model.scores([" ".join(map(f, t.split())) for t in clean]) >= 0.3).sum()
+        caught = (model.scores([" ".join(map(f, w)) for w in toxic]) >= 0.3).sum()
+        assert flagged <= 0.05 * len(clean) and caught >= 0.9 * len(toxic), (name, flagged, caught)
+    spaced = " ".join("themeetingstartsatnineandthereportisdueonfridaypleasebringthenotes")
+    assert model.scores([spaced])[0] < 0.3
+
+
+def test_segmentation_is_the_cheapest_of_all():
+    import itertools
+    import math
+
+    import pyarrow as pa
+
+    words = {"the": 50, "idiot": 3, "of": 40, "stone": 5, "an": 9, "other": 6, "mother": 2, "he": 20, "to": 10}
+    decoder = toxicity.Decoder(toxicity.trigram_counts(pa.array(["the idiot of the stone", "walking other mountains"] * 5)), toxicity.Config(), words)
+    A, total = toxicity._A, sum(words.values()) + 1
+
+    def cost(word):
+        codes = [0, 0, *(toxicity._CODE[c] for c in word), 0]
+        spelled = sum(float(decoder.cost.ravel()[(a * A + b) * A + c]) for a, b, c in zip(codes, codes[1:], codes[2:]))
+        return min(spelled + decoder.config.unknown, -math.log(words[word] / total) if word in words else math.inf)
+
+    for letters in ("theidiot", "ofthestone", "another", "tothemothe", "xqzthe", "a"):
+        cuts = [[0, *c, len(letters)] for n in range(len(letters)) for c in itertools.combinations(range(1, len(letters)), n)]
+        best = min(sum(cost(letters[a:b]) for a, b in itertools.pairwise(c)) for c in cuts)
+        got = decoder.segmented(letters)
+        assert "".join(got) == letters and abs(sum(map(cost, got)) - best) < 1e-4
+    assert decoder.segmented("") == [] and decoder.segmented("theidiotofthestone") == ["the", "idiot", "of", "the", "stone"]
+
+
 def test_viterbi_finds_the_cheapest_of_all_paths():
     import itertools
 
