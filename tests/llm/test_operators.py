@@ -158,10 +158,31 @@ def test_pii_redacts_plain_cases(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert [out[i] for i in range(len(cases))] == list(cases.values())
-    found = {r.doc_id: r for r in pii.find(df, kinds=pii.WHOLE).collect()}
+    found = {r.doc_id: r for r in pii.find(df).collect()}
     assert [(s.start, s.end) for s in found[6].ssn] == [(4, 15), (17, 28)]
 
 
+def test_pii_of_the_query_equals_its_sql(spark, tmp_path):
+    """Spans that need a country's length, a key in capitals, or context before another match; random IBAN-like texts against the SQL."""
+    import duckdb
+
+    from tidemark.llm import registry
+
+    rng = random.Random(13)
+    bits = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "XX11", "AB12 ", "NO9386011117947", "7", "Z", " ", " BIC COBADEFF", "é", "x", "FR14 2004 1010 0505 0001 3M02 606", "-", "ZZ68539007547034"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(800)]
+    texts += ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "Password: abcdefgh12345678", "SSN 123-45-6789, 987-65-4321", "a hotel 078-05-1120", "social security 078-05-1120", "lessn 078-05-1120", None, "Visa 4111 1111 1111 1111"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r) for r in registry.QUERIES["op2_pii"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == {r[0]: r for r in con.execute(registry.SQL["op2_pii"]).fetchall()}
+    spans = {i: got[i][-1] for i in range(800, 808)}
+    assert spans == {800: "iban:5:32", 801: "secret:0:26", 802: "ssn:4:15,ssn:17:28", 803: "", 804: "ssn:16:27", 805: "", 806: "", 807: "card:5:24"}
+    assert sum("iban" in g[-1] for g in got.values()) > 100
+
+
 # --- toxicity ---
 
 

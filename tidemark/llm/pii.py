@@ -153,15 +153,14 @@ ADDED = (
         0.6,
     ),
 )
-#: What op2_pii and its SQL find.
-KINDS = BASE + ADDED
-
 #: Characters of an IBAN after its country and check digits.
 _IBAN_REST = {
     11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV", 18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG",
     21: "LY PT ST", 22: "IS TR", 23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV", 25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
 }
 _KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])" for n, c in _IBAN_REST.items())
+#: An IBAN of no known length, short of what may begin another.
+_OPEN = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"
 #: By its country's length, else as long as capitals and digits go on, short of what may begin another.
 _IBAN = rf"(?<![A-Za-z0-9])(?:{_KNOWN}|[A-Z]{{2}}[0-9]{{2}}(?:(?: (?![A-Z]{{2}}[0-9]{{2}}))?[A-Z0-9]){{11,30}})"
 _SECRET = f"(?i:{'|'.join(_KEYS)}) ?[=:] ?\"?[0-9A-Za-z_-]{{12,}}"
@@ -173,11 +172,12 @@ def _whole(kind: Kind) -> Kind:
     if kind.name == "secret":
         kind_gate = kind.gate
         kind = replace(kind, plain=_SECRET, java=_SECRET, gate=lambda t: kind_gate(F.lower(t)))
-    return replace(kind, far=True)
+    # Context words begin at a word's edge.
+    return replace(kind, far=True, context=rf"\b(?:{kind.context})")
 
 
-#: What is redacted: KINDS with IBANs before capitals or digits, keys in any case, and context across matches.
-WHOLE = tuple(map(_whole, KINDS))
+#: What is found and what is redacted: IBANs end by their country's length, keys may have any case, context goes on across matches.
+KINDS = tuple(map(_whole, BASE + ADDED))
 
 
 def _pieces(text: Column, kind: Kind) -> Column:
@@ -258,7 +258,7 @@ def redacted(text: Column, kind: Kind) -> Column:
     return F.when(kind.gate(text), F.element_at(whole, 1)).otherwise(text)
 
 
-def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """docs with their texts redacted, one kind after the other (secrets and long spans first); null texts stay null."""
     order = [k for n in ("secret", "email", "ip", "iban", "phone", "card", "ssn") for k in kinds if k.name == n] + [k for k in kinds if k.name not in {own.name for own in KINDS}]
     for kind in order:

@@ -66,20 +66,31 @@ def _op2_sql() -> str:
         "ip": f"regexp_full_match(m, '{octet}(?:[.]{octet}){{3}}')",
         "card": f"len(dg) BETWEEN 13 AND 19 AND {luhn}",
         "phone": "len(dg) BETWEEN 9 AND 15",
-        "iban": f"NOT regexp_matches(right(b, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(a, 1), '[A-Za-z0-9]') AND {mod97}",
+        "iban": f"NOT regexp_matches(substr(text, s + len(m) + 1, 1), '[A-Za-z0-9]') AND {mod97}",
         "secret": "regexp_matches(m, '[0-9]')",
         "ssn": "NOT regexp_matches(right(b, 1), '[0-9-]') AND NOT regexp_matches(left(a, 1), '[0-9-]')",
     }
+    known = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}(?:[^A-Za-z0-9]|$)" for n, c in pii._IBAN_REST.items())
     parts, ctes = [], []
     for n, kind in enumerate(pii.KINDS):
-        near = f"regexp_matches(lower(right(b, {pii.CONTEXT})), '{kind.context}')"
+        plain = "[A-Z]{2}[0-9]{2}" if kind.name == "iban" else kind.plain
+        near = f"regexp_matches(lower(right(left(text, s), {pii.CONTEXT})), '{kind.context}')"
         enough = "true" if kind.prior >= pii.LEAST_SCORE else near
-        ctes.append(f"""x{n} AS (SELECT rid, regexp_extract_all(text, '{kind.plain}') AS ms, string_split_regex(text, '{kind.plain.replace("(", "(?:")}') AS bs FROM d WHERE regexp_matches(text, '{kind.plain}')),
-y{n} AS (SELECT rid, i, ms[i] AS m, bs[i] AS b, bs[i + 1] AS a, string_split({digits.format("ms[i]")}, '') AS dg, list_sum(list_transform(bs[:i], lambda s: len(s))) + coalesce(list_sum(list_transform(ms[: i - 1], lambda s: len(s))), 0) AS s FROM x{n}, unnest(range(1, len(ms) + 1)) AS g(i))""")
-        parts.append(f"SELECT rid, {n} AS k, '{kind.name}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + len(m) AS BIGINT) AS e FROM y{n} WHERE ({valid[kind.name]}) AND {enough}")
+        ctes.append(f"""x{n} AS (SELECT rid, text, regexp_extract_all(text, '{plain}') AS ms, string_split_regex(text, '{plain.replace("(", "(?:").replace("(?:?i:", "(?i:")}') AS bs FROM d WHERE regexp_matches(text, '{plain}')),
+y{n} AS (SELECT rid, text, i, ms[i] AS m, bs[i] AS b, bs[i + 1] AS a, string_split({digits.format("ms[i]")}, '') AS dg, CAST(list_sum(list_transform(bs[:i], lambda s: len(s))) + coalesce(list_sum(list_transform(ms[: i - 1], lambda s: len(s))), 0) AS BIGINT) AS s FROM x{n}, unnest(range(1, len(ms) + 1)) AS g(i))""")
+        source = f"y{n}"
+        if kind.name == "iban":
+            # Where one may begin, how far it goes, and of those the leftmost that don't overlap.
+            source = "ib"
+            ctes.append(f"""ib1 AS (SELECT rid, text, s, substr(text, s + 1, 90) AS t FROM y{n} WHERE NOT regexp_matches(right(left(text, s), 1), '[A-Za-z0-9]')),
+ib2 AS (SELECT rid, text, s, CASE WHEN regexp_matches(t, '^(?:{known})') THEN regexp_replace(regexp_extract(t, '^(?:{known})'), '[^A-Za-z0-9]$', '') ELSE regexp_extract(string_split_regex(t, ' [A-Z]{{2}}[0-9]{{2}}')[1], '^{pii._OPEN}') END AS m FROM ib1),
+ib3 AS (SELECT *, s + len(m) AS e FROM ib2 WHERE m <> ''),
+ib4 AS (SELECT *, (SELECT min(o.s) FROM ib3 o WHERE o.rid = c.rid AND o.s >= c.e) AS nx, s = min(s) OVER (PARTITION BY rid) AS head FROM ib3 c),
+ib AS (SELECT rid, text, m, s, nx FROM ib4 WHERE head UNION ALL SELECT n.rid, n.text, n.m, n.s, n.nx FROM ib JOIN ib4 n ON n.rid = ib.rid AND n.s = ib.nx)""")
+        parts.append(f"SELECT rid, {n} AS k, '{kind.name}' AS kind, s, CAST(s + len(m) AS BIGINT) AS e FROM {source} WHERE ({valid[kind.name]}) AND {enough}")
     counts = ", ".join(f"count(*) FILTER (k = {n}) AS n_{k.name}" for n, k in enumerate(pii.BASE))
     lists = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s)"
-    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 {", ".join(ctes)},
 s AS ({" UNION ALL ".join(parts)}),
 t AS (SELECT rid, {counts}, {lists} FILTER (k < {len(pii.BASE)}) AS base, {lists} AS spans FROM s GROUP BY rid)
