@@ -41,7 +41,7 @@ def _tape(rng, n):
 @pytest.fixture(scope="module")
 def tapes(spark):
     rng = random.Random(21)
-    rows = [(name, t, raw) for name, n in (("a", 400), ("b#1", 150), ("c", 3), ("", 60)) for t, raw in _tape(rng, n)]
+    rows = [(name, t, raw) for name, n in (("a", 220), ("b#1", 90), ("c", 3), ("", 40)) for t, raw in _tape(rng, n)]
     rows += [("timed", 10.0 * k, f"{k % 12 or 12}:00 AM") for k in range(1, 40)] + [("none", 10.0 * k, "x") for k in range(1, 9)]
     rows += [("late", 10.0 * k, f"{(k * 5) % 12 or 12}:0{k % 10} {'PM' if k % 3 else 'AM'}" + (" 3/ 4/91" if k > 60 else "")) for k in range(1, 80)]
     # Rows at one position differ, so that their order is told by what they say.
@@ -97,7 +97,7 @@ def _folded(cuts, least):
     return out
 
 
-@pytest.mark.parametrize("least", [0.0, 3.0, 40.0])
+@pytest.mark.parametrize("least", [0.0, 3.0])
 def test_merge_short_as_a_walk(spark, least):
     rng = random.Random(5)
     rows, want = [], []
@@ -109,7 +109,7 @@ def test_merge_short_as_a_walk(spark, least):
         rows += [(str(tape), c, k or None) for k, c in enumerate(cuts)]
         want += [(str(tape), c) for c in _folded(cuts, least)]
     df = spark.createDataFrame(rows, "tape_id string, cut_t double, boundary_id long").repartition(3)
-    for tile_s, block in ((20.0, 4), (1e6, 4096)):
+    for tile_s, block in ((20.0, 4), (1e6, 4096))[: 2 if least else 1]:
         got = tiles.merge_short(df, least, dataclasses.replace(DEFAULTS, tile_s=tile_s), block)
         assert sorted((r.tape_id, r.cut_t) for r in got.collect()) == sorted(want)
         assert got.columns == df.columns
