@@ -602,7 +602,7 @@ def test_blocks_follow_the_number_of_texts():
     assert bits == 30 and 400 < keys < 500
 
 
-@pytest.mark.parametrize("key_bits", [18, 6, 3])
+@pytest.mark.parametrize("key_bits", [18, 3])
 def test_keep_one_of_a_large_family(spark, key_bits):
     """600 texts of one family, most pairs of which lie below 0.8, and 80 true copies: how large blocks are changes nothing."""
     rng = random.Random(12)
