@@ -218,6 +218,25 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.train(empty, own)).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only labelled rows beyond the 30,000 of smallest hash have."""
+    ids = spark.range(48_000).withColumnRenamed("id", "doc_id").withColumn("toxic", ((F.col("doc_id") % 10 == 0) | (F.col("doc_id") % 97 == 0)).cast("int"))
+    word = F.when(F.col("doc_id") % 10 != 0, "walking").when(F.xxhash64("doc_id") > 6_500_000_000_000_000_000, "moron").otherwise("idiot")
+    docs = ids.select("doc_id", F.concat_ws(" ", F.lit("the river"), word, F.element_at(F.array(*map(F.lit, ("stone", "cloud", "thing"))), (F.col("doc_id") % 3 + 1).cast("int"))).alias("text"))
+    model = toxicity.train(docs, ids)
+    assert (model.scores(["the moron stone", "the idiot cloud", "of m0r0n"]) >= 0.3).all() and model.scores(["the walking stone", None]).max() < 0.3
+
+
+def test_regression_is_the_least_loss_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.ones(900), rng.random((900, 4)) * [9, 20, 3, 10]])
+    y = (x @ [-3, 0.5, 0.1, -0.4, 0.1] + rng.normal(size=900) > 0).astype(int)
+    rows = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "x0 double, x1 double, x2 double, x3 double, x4 double, toxic int")
+    w = toxicity.Model(None, toxicity.Config(), np.zeros(1)).fit(rows).weights
+    slope = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 1e-2 * w
+    assert np.abs(slope).max() < 1e-4 and w.tolist() == toxicity.Model(None, toxicity.Config(), np.zeros(1)).fit(rows.orderBy("x1").repartition(5)).weights.tolist()
+
+
 #: Ways to hide every word of a text.
 DISGUISES = {
     "plain": lambda w: w,

@@ -13,8 +13,10 @@ Restored words are scored by evidence: hashed words and word beginnings are coun
 class (of the folds that may be learned from, the first two), as log odds; a text's strongest evidence and its share
 of toxic words go through a logistic regression fitted to the other fold. In letters set apart, singly or in pairs, the
 ends of words are lost: a second Viterbi pass finds the cheapest sequence of words, of those most frequent in the
-labelled texts by their frequency and of others by the character model, and only its known words count as evidence. Labels are
-learned from `Config.train_rows` labelled ids and as many rows at most. Everything that is broadcast has a bounded size.
+labelled texts by their frequency and of others by the character model, and only its known words count as evidence. Words,
+counts and the regression are learned from all labelled rows outside the held-out fold: labels are joined to texts by a
+shuffle, and each Newton step adds up its sums over all rows of a written table. Everything that is broadcast, and all
+that the driver gets, has a bounded size.
 
 Defined results: null and empty texts and texts without evidence get the fitted base score; repeated rows give
 repeated results; with no usable labels every score is 0; null labels are no labels; labelled ids that occur several
@@ -69,8 +71,6 @@ class Config:
     #: Lengths of word beginnings that are features beside the whole word.
     beginnings: tuple[int, ...] = (4, 5, 6)
     smoothing: float = 0.5
-    #: Labelled rows that are learned from at most, those of smallest hash; their ids and labels are broadcast.
-    train_rows: int = 30_000
     threshold: float = 0.3
     #: Costs of the channel, in nats: a sign as a letter it looks like, one dropped that looks like a letter or not, a repeated letter shortened.
     as_letter: float = 0.5
@@ -337,6 +337,9 @@ class Decoder:
 
 # --- evidence ---
 
+#: Parts of one that terms of the regression's sums are rounded to.
+_UNIT = 1 << 32
+
 
 def _outside(tokens: list[str], runs: list[tuple[int, int, str]]) -> set[str]:
     """The distinct fields that no run has."""
@@ -439,14 +442,23 @@ class Model:
         strong = sum(o > 2 for o in top)
         return [1.0, top[0] if top else 0.0, sum(top[1:4]), min(strong, 10) / 3, 10 * strong / max(10, len(distinct))]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> Model:
-        """Logistic regression by Newton steps."""
-        w = np.zeros(x.shape[1])
+    def fit(self, rows: DataFrame, rounds: int = 60, ridge: float = 1e-2) -> Model:
+        """Logistic regression of rows (x0, x1 and so on, toxic) by Newton steps, whose sums are over all rows."""
+        w = np.zeros(len(self.weights))
+        x = [F.col(f"x{k}") for k in range(len(w))]
+        low, high = np.tril_indices(len(w))
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (p - y) + ridge * w
-            h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-            step = np.linalg.solve(h, g)
+            z = sum((x[k] * F.lit(float(w[k])) for k in range(len(w))), F.lit(0.0))
+            given = rows.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
+            p = F.col("p")
+            terms = [a * (p - F.col("toxic")) for a in x] + [x[i] * x[j] * p * (1 - p) for i, j in zip(low, high)]
+            # Sums of whole numbers are the same in any order of rows.
+            sums = [F.sum(F.rint(t * F.lit(float(_UNIT))).cast("bigint").cast("decimal(20,0)")) for t in terms]
+            total = np.array([float(v or 0) / _UNIT for v in given.agg(*sums).first()])
+            g = total[: len(w)] + ridge * w
+            h = np.zeros((len(w), len(w)))
+            h[low, high] = h[high, low] = total[len(w) :]
+            step = np.linalg.solve(h + ridge * np.eye(len(w)), g)
             w -= step
             if np.abs(step).max() < 1e-6:
                 break
@@ -467,10 +479,9 @@ def _fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", config: Config = Config()) -> Model:
     """A model learned from labelled documents outside the held-out fold."""
     usable = labels.where(F.col(label_col).isin(0, 1) & (_fold(F.col(id_col)) != HELD_OUT)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), _fold(F.col(id_col)).alias("fold"))
-    own = usable.orderBy(F.xxhash64("id"), "id", "toxic").limit(config.train_rows)
-    # The bounded side is broadcast, so no text is shuffled; the rows found are written once, for both folds.
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    labelled = materialise(text.join(F.broadcast(own), "id").select("id", "text", "toxic", "fold"), "labelled")
+    # Labels grow with the texts, so both are shuffled by id at any size; the rows found are written once, for both folds.
+    text = docs.where(_fold(F.col(id_col)) != HELD_OUT).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    labelled = materialise(text.join(usable.hint("merge"), "id").select("text", "toxic", "fold"), "labelled")
     decoder = Decoder(corpus_trigrams(docs, text_col), config, frequent_words(labelled, config.words))
     by_class, n = counts_by_class(labelled.where(F.col("fold") != FOLDS - 1), decoder, config)
     s = config.smoothing
@@ -486,13 +497,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([held.value.evidence(t) for t in b.column(0).to_pylist()]).reshape(b.num_rows, 5)
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(5)], b.column(1), b.column(2)], names=["x0", "x1", "x2", "x3", "x4", "toxic", "h"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(5)], b.column(1)], names=["x0", "x1", "x2", "x3", "x4", "toxic"])
 
-    half = labelled.where(F.col("fold") == FOLDS - 1).select("text", "toxic", F.xxhash64("id", "text").alias("h")).mapInArrow(run, "x0 double, x1 double, x2 double, x3 double, x4 double, toxic int, h bigint")
-    rows = half.orderBy("h", "toxic").limit(config.train_rows).toArrow()  # ids may repeat in documents
-    if not rows.num_rows:
-        return model
-    return model.fit(np.stack([rows.column(k).to_numpy() for k in range(5)], axis=1), rows.column("toxic").to_numpy().astype(float))
+    half = labelled.where(F.col("fold") == FOLDS - 1).select("text", "toxic").mapInArrow(run, "x0 double, x1 double, x2 double, x3 double, x4 double, toxic int")
+    rows = materialise(half, "evidence")
+    return model if rows.isEmpty() else model.fit(rows)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", restored: bool = False) -> DataFrame:
