@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, label
 from tidemark.plans import queries
+from tidemark.sources import caches
 
 DAY = dt.datetime(1990, 1, 4)
 
@@ -59,3 +60,11 @@ def test_labels(stored):
     got = label.labelled(clips, filtered, found, "daily")
     assert "Broadcast" not in _planned(got)
     assert [r.label for r in got.orderBy("clip_no").collect()] == ["1990-01-04", "1990-01-05"]
+
+
+def test_documents(stored, zones):
+    clips = evaluate.clip_starts(stored("clips", [("a", 1, "a_clip01_1990-01-05.mp4", 90.0)], "tape_id string, clip_no int, name string, duration_s double"))
+    readings = stored("readings", [("a", 101, 101, DAY + dt.timedelta(days=1))], "tape_id string, coarse int, t int, dt timestamp_ntz")
+    got = caches.result_documents(evaluate.results(zones, clips, readings))
+    assert "Broadcast" not in _planned(got)
+    assert [(r.tape_id, len(r.boundaries), r.summary["count"], r.summary.pipeline_median_error_s) for r in got.collect()] == [("a", 1, 1, 101.0)]
